@@ -53,8 +53,19 @@ def unpack(field: Column | str) -> Column:
     An opening quote that is never closed counts as a separator.
     """
     text = F.coalesce(F.col(field) if isinstance(field, str) else field, F.lit(""))
-    spans = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))
-    outside = F.transform(F.split(text, QUOTED), lambda p: F.translate(p, _OPEN + _CLOSE, "  "))
+    plain = F.split(text, f"[^{VALUE_CHARS}]+")
+    quoted = text.rlike("[\"'" + "".join(CURLY_QUOTES) + "]")
+    return F.when(quoted, F.try_element_at(F.transform(_bound(text), _restored), F.lit(1))).otherwise(F.filter(plain, lambda v: v != ""))
+
+
+def _bound(text: Column) -> Column:
+    """One struct (text, spans) in an array: a lambda over it refers to spans instead of computing them per element."""
+    return F.array(F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0)).alias("spans")))
+
+
+def _restored(let: Column) -> Column:
+    spans = let["spans"]
+    outside = F.transform(F.split(let["text"], QUOTED), lambda p: F.translate(p, _OPEN + _CLOSE, "  "))
     masked = F.array_join(
         F.transform(
             outside,
@@ -62,11 +73,10 @@ def unpack(field: Column | str) -> Column:
         ),
         "",
     )
-    parts = F.split(F.when(text.rlike("[\"'" + "".join(CURLY_QUOTES) + _OPEN + _CLOSE + "]"), masked).otherwise(text), f"[^{VALUE_CHARS}{_OPEN}{_CLOSE}]+")
     restored = F.transform(
-        parts,
+        F.split(masked, f"[^{VALUE_CHARS}{_OPEN}{_CLOSE}]+"),
         lambda p: F.when(
-            F.startswith(p, F.lit(_OPEN)), _unquoted(F.try_element_at(spans, F.regexp_extract(p, f"^{_OPEN}([0-9]+){_CLOSE}$", 1).cast("int") + 1))
+            F.startswith(p, F.lit(_OPEN)), _unquoted(F.try_element_at(spans, F.translate(p, _OPEN + _CLOSE, "").cast("int") + 1))
         ).otherwise(p),
     )
     return F.filter(restored, lambda v: v.isNotNull() & (v != ""))
