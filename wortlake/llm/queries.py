@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wortlake.llm import lookalike, topn
+from wortlake.llm import encode, lookalike, pack, split, topn
 from wortlake.llm.sql import SQL  # noqa: F401
 from wortlake.sources.tables import table
 
@@ -43,4 +43,24 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_n(rows, "expression", "score", ["import_ord"], 5).select("import_ord", F.col("rnk").cast("int").alias("rnk"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found}
+CAPACITY = 2048
+LIMIT, OVERLAP = 512, 64
+
+
+def p6_ids(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", encode.token_ids("text", encode.shared(spark)).alias("ids"))
+
+
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    """Documents in containers of CAPACITY tokens of byte_bpe_50k."""
+    documents = table(spark, root, "documents")
+    sized = documents.select("doc_id", encode.token_count("text", encode.shared(spark)).alias("n_tokens"))
+    return pack.pack(sized, "doc_id", "n_tokens", CAPACITY, rows=documents.count())
+
+
+def p8_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Documents in pieces of at most LIMIT tokens of byte_bpe_50k that overlap by OVERLAP."""
+    return split.split_texts(table(spark, root, "documents"), "doc_id", "text", encode.shared(spark), LIMIT, OVERLAP)
+
+
+QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_pieces": p8_pieces}
