@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wortlake.llm import encode, lookalike, pack, split, topn
+from wortlake.llm import encode, lookalike, markup, pack, split, topn
 from wortlake.llm.sql import SQL  # noqa: F401
 from wortlake.sources.tables import table
 
@@ -43,6 +43,36 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_n(rows, "expression", "score", ["import_ord"], 5).select("import_ord", F.col("rnk").cast("int").alias("rnk"))
 
 
+def _content(spark: SparkSession, root: str) -> DataFrame:
+    """The Content items of all glossaries: import_ord, item_pos, plain_text, html."""
+    items = table(spark, root, "terms").select("import_ord", F.posexplode("glossary").alias("_pos", "_item")).where("_item.kind = 'Content'")
+    return items.select("import_ord", (F.col("_pos") + 1).alias("item_pos"), "_item.plain_text", "_item.html")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Content items whose plain_text has a leaf node on a tagged path of the path table."""
+    nodes = markup.nodes_of(_content(spark, root), ["import_ord", "item_pos"], "plain_text")
+    tagged = markup.path_ratios(nodes).where("tagged").select("path")
+    return nodes.join(tagged, "path", "left_semi").select("import_ord", "item_pos").distinct()
+
+
+def _both(spark: SparkSession, root: str) -> DataFrame:
+    return _stacked(_content(spark, root), {"plain_text": "plain_text", "html": "html"}, "import_ord", "item_pos").withColumnRenamed("spelling", "text")
+
+
+def p5_paths(spark: SparkSession, root: str) -> DataFrame:
+    """The tag paths of plain_text and html with their ratios."""
+    ratios = markup.path_ratios(markup.nodes_of(_both(spark, root), [], "text"))
+    return ratios.select("path", "nodes", "leaves", "chars", "punct", F.round("ratio", 6).alias("ratio"), "content")
+
+
+def p5_clean(spark: SparkSession, root: str) -> DataFrame:
+    """The clean text of every plain_text and html."""
+    both = _both(spark, root).where("text IS NOT NULL")
+    noise = markup.noise_paths(markup.path_ratios(markup.nodes_of(both, [], "text")))
+    return both.select("import_ord", "item_pos", "fld", markup.clean_text(F.col("text"), noise).alias("clean"))
+
+
 CAPACITY = 2048
 LIMIT, OVERLAP = 512, 64
 
@@ -63,4 +93,4 @@ def p8_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_texts(table(spark, root, "documents"), "doc_id", "text", encode.shared(spark), LIMIT, OVERLAP)
 
 
-QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_pieces": p8_pieces}
+QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p5_found": p5_found, "p5_paths": p5_paths, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_pieces": p8_pieces}

@@ -15,6 +15,7 @@ a task and is never gathered.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +24,14 @@ BANDS = 16
 HEAVY = 10_000
 
 
-def band_edges(df: DataFrame, score: str, bands: int = BANDS) -> list:
-    """The inner edges of the score bands, descending: quantiles over all rows (at most bands - 1 values come to the driver)."""
-    wanted = [1 - 2.0**-i for i in range(1, bands)]  # fine at the top, where groups fill
-    found = df.agg(F.percentile_approx(score, wanted, 10_000)).first()[0]
-    return sorted(set(found or []), reverse=True)
+def band_edges(df: DataFrame, score: str, bands: int = BANDS) -> tuple[list, int]:
+    """The inner edges of the score bands, descending, and the number of rows.
+
+    The edges are quantiles over all rows, fine at the top, where groups fill; at most bands - 1 values come to the driver.
+    """
+    wanted = [1 - 2.0**-i for i in range(1, bands)]
+    edges, rows = df.agg(F.percentile_approx(score, wanted, 10_000), F.count("*")).first()
+    return sorted(set(edges or []), reverse=True), rows
 
 
 def band_of(score: str, edges: Sequence) -> Column:
@@ -38,19 +42,18 @@ def band_of(score: str, edges: Sequence) -> Column:
     return out
 
 
-def filled_groups(banded: DataFrame, group: str, n: int, heavy: int = HEAVY) -> DataFrame:
-    """Per heavy group the last open band, the one in which it has n rows: (group, last_band).
+def filled_groups(banded: DataFrame, group: str, band: str, n: int, least: float) -> DataFrame:
+    """Per group of more than `least` rows the last open band, the one in which it has n rows: (_filled, _last).
 
-    The rows are counted per group and band, combined map-side. Fewer than `heavy` rows come out.
+    The rows are counted per group and band, combined map-side.
     """
-    counts = banded.groupBy(group, "_band").agg(F.count("*").alias("_rows"))
-    total = banded.agg(F.count("*").alias("_all"))
-    large = counts.groupBy(group).agg(F.sum("_rows").alias("_size"), F.sort_array(F.collect_list(F.struct("_band", "_rows"))).alias("_bands"))
-    large = large.join(F.broadcast(total), F.col("_size") * heavy > F.col("_all")).where(F.col("_size") > n)
+    counts = banded.groupBy(group, band).agg(F.count("*").alias("_rows"))
+    large = counts.groupBy(group).agg(F.sum("_rows").alias("_size"), F.sort_array(F.collect_list(F.struct(band, "_rows"))).alias("_bands"))
+    large = large.where((F.col("_size") > least) & (F.col("_size") > n))
     filled = F.aggregate(
         "_bands",
         F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("band")),
-        lambda acc, b: F.struct((acc["seen"] + b["_rows"]).alias("seen"), F.coalesce(acc["band"], F.when(acc["seen"] + b["_rows"] >= n, b["_band"])).alias("band")),
+        lambda acc, b: F.struct((acc["seen"] + b["_rows"]).alias("seen"), F.coalesce(acc["band"], F.when(acc["seen"] + b["_rows"] >= n, b[band])).alias("band")),
     )
     return large.select(F.col(group).alias("_filled"), filled["band"].alias("_last"))
 
@@ -65,8 +68,12 @@ def top_n(df: DataFrame, group: str, score: str, tie: Sequence[str], n: int, *,
     if n < 1:
         raise ValueError("n must be at least 1")
     rows = df.where(F.col(group).isNotNull() & F.col(score).isNotNull())
-    banded = rows.withColumn("_band", band_of(score, band_edges(rows, score, bands)))
-    filled = filled_groups(banded.select(group, "_band"), group, n, heavy)
-    open_bands = banded.join(F.broadcast(filled), (F.col(group) == F.col("_filled")) & (F.col("_band") > F.col("_last")), "left_anti").drop("_band")
+    edges, total = band_edges(rows, score, bands)
+    band = next(name for name in (f"_band{i}" for i in count()) if name not in df.columns)
+    banded = rows.withColumn(band, band_of(score, edges))
+    filled = filled_groups(banded.select(group, band), group, band, n, total / heavy)
+    # Fewer than `heavy` groups hold more than total / heavy rows.
+    closed = (F.col(group) == F.col("_filled")) & (F.col(band) > F.col("_last"))
+    open_bands = banded.join(F.broadcast(filled), closed, "left_anti").drop(band)
     order = Window.partitionBy(group).orderBy(F.desc(score), *tie)
     return open_bands.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
