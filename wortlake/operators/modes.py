@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("simple", "group", "merge", "split")
-_DEFINITION = ("id", "dictionary", "dictionary_index", "score", "sequence", "is_primary", "glossary", "definition_tags")
-
-
-def _ordered(value: Column, order: Sequence[str]) -> Column:
-    return F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("_v")))), lambda x: x["_v"])
 
 
 def group_entries(entries: DataFrame, by: Sequence[str], order: Sequence[str] = ("entry_ord", "id"), *, dedup: bool = False) -> DataFrame:
@@ -20,75 +15,100 @@ def group_entries(entries: DataFrame, by: Sequence[str], order: Sequence[str] =
 
     score is the greatest, dictionary_index the least, alias that of the last entry in order, is_primary whether any
     is; max_length, inflections and text_chains are the greatest and the shortest of the primary entries.
-    Headwords are merged by term and normalised reading, the first index wins. With dedup, definitions with one
-    dictionary and glossary become one. A group holds the entries of one headword or sequence of one query.
+    Headwords are merged by term and normalised reading, the first index wins. With dedup, definitions of one
+    dictionary and glossary are merged (see `dedup_units`), as a shuffled aggregate of their own before anything is
+    nested. A group holds the entries of one headword or sequence of one query: what an entry is.
     """
-    primary = F.col("is_primary")
-    size = F.struct(F.size("inflections"), *order)
-    chains = F.struct(F.size("text_chains"), *order)
-    head = F.struct(F.col("expression").alias("term"), F.col("norm_reading").alias("norm_reading"), F.col("reading").alias("reading"), F.col("match_source").alias("match_source"), primary.alias("is_primary"))
-    first = entries.groupBy(*by).agg(
+    rows = _units(entries, order)
+    if dedup:
+        rows = dedup_units(rows, by)
+    first = rows.groupBy(*by).agg(
         F.max("score").alias("score"),
         F.min("dictionary_index").alias("dictionary_index"),
-        F.max_by("alias", F.struct(*order)).alias("alias"),
+        F.max_by("alias", "_last").alias("alias"),
         F.bool_or("is_primary").alias("is_primary"),
-        F.coalesce(F.max(F.when(primary, F.col("max_length"))), F.lit(0)).alias("max_length"),
-        F.min_by("inflections", F.when(primary, size)).alias("inflections"),
-        F.min_by("text_chains", F.when(primary, chains)).alias("text_chains"),
+        F.coalesce(F.max("max_length"), F.lit(0)).alias("max_length"),
+        F.min_by("inflections", "_ik").alias("inflections"),
+        F.min_by("text_chains", "_tk").alias("text_chains"),
         F.bool_or("match_primary_reading").alias("match_primary_reading"),
-        F.min(F.struct(*order)).alias("group_ord"),
-        _ordered(head, order).alias("_heads"),
-        _ordered(F.struct(*_DEFINITION, F.struct(F.col("expression").alias("term"), F.col("norm_reading").alias("norm_reading")).alias("head")), order).alias("_defs"),
+        F.min("_o").alias("group_ord"),
+        F.sort_array(F.collect_list(F.struct("_o", "_heads", "_def"))).alias("_rows"),
+    )
+    # One array holds the built entry, so that later steps refer to its fields and do not build it again.
+    built = F.element_at(F.transform(F.array(F.struct("_rows", _heads().alias("heads"))), _assembled), 1)
+    return first.withColumn("_built", built).select("*", "_built.*").drop("_rows", "_built")
+
+
+def _heads() -> Column:
+    return F.flatten(F.transform("_rows", lambda r: r["_heads"]))
+
+
+def _assembled(group: Column) -> Column:
+    """STRUCT(headwords, definitions, exact_count) of a group's sorted rows and their headwords."""
+
+    def with_keys(bound: Column) -> Column:
+        keys, heads, rows = bound["keys"], bound["heads"], bound["rows"]
+        headwords = F.transform(keys, lambda k: _headword(F.filter(heads, lambda h: h["key"] == k)))
+        definitions = F.transform(rows, lambda r, i: _definition(r["_def"], r["_heads"], keys, i))
+        return F.struct(headwords.alias("headwords"), definitions.alias("definitions"))
+
+    keys = F.array_distinct(F.transform(group["heads"], lambda h: h["key"]))
+    bound = F.array(F.struct(keys.alias("keys"), group["heads"].alias("heads"), group["_rows"].alias("rows")))
+    counted = F.transform(F.transform(bound, with_keys), lambda e: F.struct(e["headwords"].alias("headwords"), e["definitions"].alias("definitions"), F.size(F.filter(e["headwords"], lambda h: h["primary_term"])).alias("exact_count")))
+    return F.element_at(counted, 1)
+
+
+def _units(entries: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Entries with what their group needs: the order, the keys of the shortest chains, one headword and one definition."""
+    primary, at = F.col("is_primary"), F.struct(*order)
+    head = F.struct(F.to_json(F.struct("expression", "norm_reading")).alias("key"), F.col("expression").alias("term"), "reading", "match_source", "is_primary")
+    definition = F.struct("id", "dictionary", "dictionary_index", "score", F.array("sequence").alias("sequences"), "is_primary", "glossary", "definition_tags")
+    return entries.withColumns(
+        {
+            "_o": at,
+            "_last": at,
+            "_ik": F.when(primary, F.struct(F.size("inflections"), at)),
+            "_tk": F.when(primary, F.struct(F.size("text_chains"), at)),
+            "max_length": F.when(primary, F.col("max_length")),
+            "_heads": F.array(head),
+            "_def": definition,
+        }
     )
-    keys = F.array_distinct(F.transform("_heads", lambda h: F.struct(h["term"].alias("term"), h["norm_reading"].alias("norm_reading"))))
-    indexed = first.withColumn("_keys", keys)
-    headwords = F.transform("_keys", lambda k: _headword(k, F.filter("_heads", lambda h: (h["term"] == k["term"]) & (h["norm_reading"] == k["norm_reading"]))))
-    definitions = F.transform("_defs", lambda d, i: _definition(d, i, F.array(F.array_position("_keys", d["head"]).cast("int") - 1)))
-    out = indexed.withColumn("headwords", headwords).withColumn("definitions", definitions)
-    if dedup:
-        out = out.withColumn("definitions", dedup_definitions(F.col("definitions")))
-    exact = F.size(F.filter("headwords", lambda h: h["primary_term"]))
-    return out.withColumn("exact_count", exact).drop("_heads", "_defs", "_keys")
 
 
-def _headword(key: Column, rows: Column) -> Column:
+def dedup_units(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Definitions with one dictionary and glossary merged: primary if any is, sequences, headwords and tags united."""
+    same = rows.withColumn("_g", F.to_json("_def.glossary")).groupBy(*by, "dictionary", "_g")
+    return same.agg(
+        *(F.max(c).alias(c) for c in ("score", "max_length", "_last")),
+        F.max_by("alias", "_last").alias("alias"),
+        F.min("dictionary_index").alias("dictionary_index"),
+        *(F.bool_or(c).alias(c) for c in ("is_primary", "match_primary_reading")),
+        F.min_by("inflections", "_ik").alias("inflections"),
+        F.min_by("text_chains", "_tk").alias("text_chains"),
+        *(F.min(c).alias(c) for c in ("_o", "_ik", "_tk")),
+        F.array_sort(F.flatten(F.collect_set("_heads"))).alias("_heads"),
+        F.min_by("_def", "_o").alias("_d"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_def.sequences")))).alias("_s"),
+        F.array_distinct(F.flatten(F.collect_set("_def.definition_tags"))).alias("_t"),
+    ).withColumn("_def", F.col("_d").withField("is_primary", F.col("is_primary")).withField("sequences", F.col("_s")).withField("definition_tags", F.col("_t")))
+
+
+def _headword(rows: Column) -> Column:
+    one = F.element_at(rows, 1)
     return F.struct(
-        key["term"].alias("term"),
-        F.element_at(rows, 1)["reading"].alias("reading"),
+        one["key"].alias("key"),
+        one["term"].alias("term"),
+        one["reading"].alias("reading"),
         F.exists(rows, lambda h: h["is_primary"] & (h["match_source"] == "term")).alias("primary_term"),
         F.array_distinct(F.transform(rows, lambda h: h["match_source"])).alias("sources"),
     )
 
 
-def _definition(d: Column, index: Column, heads: Column) -> Column:
-    own = [d[c].alias(c) for c in _DEFINITION if c not in ("sequence",)]
-    return F.struct(index.alias("index"), *own, F.array(d["sequence"]).alias("sequences"), heads.alias("headword_indices"))
-
-
-def dedup_definitions(definitions: Column) -> Column:
-    """Definitions with one dictionary and glossary merged: primary if any is, sequences, headword indices and tags united."""
-    key = lambda d: F.to_json(F.struct(d["dictionary"].alias("d"), d["glossary"].alias("g")))
-    first = F.filter(definitions, lambda d: F.lit(True))
-    keys = F.array_distinct(F.transform(first, key))
-
-    def merged(k: Column, i: Column) -> Column:
-        same = F.filter(definitions, lambda d: key(d) == k)
-        one = F.element_at(same, 1)
-        united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda d: d[c]))))
-        return F.struct(
-            i.alias("index"),
-            one["id"].alias("id"),
-            one["dictionary"].alias("dictionary"),
-            one["dictionary_index"].alias("dictionary_index"),
-            one["score"].alias("score"),
-            F.exists(same, lambda d: d["is_primary"]).alias("is_primary"),
-            one["glossary"].alias("glossary"),
-            F.array_distinct(F.flatten(F.transform(same, lambda d: d["definition_tags"]))).alias("definition_tags"),
-            united("sequences").alias("sequences"),
-            united("headword_indices").alias("headword_indices"),
-        )
-
-    return F.transform(keys, merged)
+def _definition(d: Column, heads: Column, keys: Column, index: Column) -> Column:
+    positions = F.array_sort(F.array_distinct(F.transform(heads, lambda h: F.array_position(keys, h["key"]).cast("int") - 1)))
+    fields = ("id", "dictionary", "dictionary_index", "score", "is_primary", "glossary", "definition_tags", "sequences")
+    return F.struct(index.alias("index"), *(d[f].alias(f) for f in fields), positions.alias("headword_indices"))
 
 
 def by_headword(entries: DataFrame, per: Sequence[str]) -> DataFrame:
