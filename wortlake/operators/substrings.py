@@ -70,7 +70,7 @@ def letter_substrings(text: Column, longest: int | None = None) -> Column:
 
 
 #: Where the last word of a text begins, with the character before it that is no letter.
-LAST_WORD = r"[^\p{L}][\p{L}\p{N}]*$"
+LAST_WORD = r"[^\p{L}][\p{L}\p{N}]*\z"
 
 
 def word_substrings(text: Column) -> Column:
@@ -105,7 +105,7 @@ def sentence_around(text: Column, start: Column, size: Column, radius: int = RAD
     to the edge of the window.
     """
     first = F.greatest(start - radius, F.lit(1))
-    left = F.regexp_extract(F.substring(text, first, start - first), f"[^{TERMINATORS}]*$", 0)
+    left = F.regexp_extract(F.substring(text, first, start - first), rf"[^{TERMINATORS}]*\z", 0)
     right = F.regexp_extract(F.substring(text, start + size, F.lit(radius)), f"^[^{TERMINATORS}]*[{TERMINATORS}]?", 0)
     whole = F.concat(left, F.substring(text, start, size), right)
     trimmed = F.regexp_replace(whole, r"^\s+|\s+$", "")

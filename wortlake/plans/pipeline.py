@@ -54,7 +54,7 @@ def candidates(queries: DataFrame, options: LookupOptions, *, longest: int = LON
     capped = F.left("text", F.lit(longest))
     letters = F.coalesce(F.col("lang").isin(*textproc.UNSPACED), F.lit(False)) | F.lit(options.search_resolution == "letter")
     # A text cut inside a word would start with a piece of that word, so the cut goes back to a border.
-    words = F.when(F.length("text") > longest, F.regexp_replace(capped, r"[\p{L}\p{N}]*$", "")).otherwise(capped)
+    words = F.when(F.length("text") > longest, F.regexp_replace(capped, r"[\p{L}\p{N}]*\z", "")).otherwise(capped)
     pieces = F.when(letters, substrings.letter_substrings(capped)).otherwise(substrings.word_substrings(F.when(words == "", capped).otherwise(words)))
     rows = texts.where("text <> ''").select("query_id", "lang", F.explode(pieces).alias("original"))
     empty = F.array().cast("array<string>")

@@ -81,25 +81,28 @@ def _id(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *columns), 256)
 
 
+def _item(value: Column) -> Column:
+    """One glossary item: a pair (form of, rules), an object (kept as JSON in html, with its text if it has one) or a text."""
+    kind = F.schema_of_variant(value)
+    return F.struct(
+        F.when(kind.startswith("ARRAY"), "Deinflection").otherwise("Content").alias("kind"),
+        F.coalesce(F.try_variant_get(value, "$.text", "string"), F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))).alias("plain_text"),
+        F.when(kind.startswith("OBJECT"), F.to_json(value)).alias("html"),
+        F.try_variant_get(value, "$[0]", "string").alias("form_of"),
+        F.try_variant_get(value, "$[1]", "array<string>").alias("rules"),
+    )
+
+
 def read_tables(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
     """The tables of the archives as lazily built DataFrames."""
     every = files(spark, paths)
     index = indexes(every)
-    item = F.struct(
-        F.when(F.schema_of_variant("value").startswith("ARRAY"), "Deinflection").otherwise("Content").alias("kind"),
-        F.coalesce(F.try_variant_get("value", "$.text", "string"), F.when(~F.schema_of_variant("value").startswith("ARRAY"), F.col("value").try_cast("string"))).alias("plain_text"),
-        F.when(F.schema_of_variant("value").startswith("OBJECT"), F.to_json("value")).alias("html"),
-        F.try_variant_get("value", "$[0]", "string").alias("form_of"),
-        F.try_variant_get("value", "$[1]", "array<string>").alias("rules"),
-    )
+    glossary = F.transform(F.coalesce(F.try_variant_get("row", "$[5]", "array<variant>"), F.array().cast("array<variant>")), _item)
     raw = _titled(_bank(every, "term_bank"), index).select(
         "dictionary", F.col("file").alias("file_path"), "pos", _at(0).alias("expression"), _at(1).alias("reading"), _at(2).alias("definition_tags"), _at(3).alias("rules"),
-        _at(4, "bigint").alias("score"), F.try_variant_get("row", "$[5]", "variant").alias("_glossary"), _at(6, "bigint").alias("sequence"), _at(7).alias("term_tags"),
+        _at(4, "bigint").alias("score"), glossary.alias("glossary"), _at(6, "bigint").alias("sequence"), _at(7).alias("term_tags"),
     )
-    exploded = raw.lateralJoin(spark.tvf.variant_explode(F.col("_glossary").outer()).select(F.col("pos").alias("_g"), "value"))
-    keys = [c for c in raw.columns if c != "_glossary"]
-    terms = exploded.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_g", item.alias("item")))), lambda x: x["item"]).alias("glossary"))
-    terms = terms.select(_id("dictionary", "file_path", "pos").alias("id"), *(c for c in keys if c != "pos"), "glossary")
+    terms = raw.select(_id("dictionary", "file_path", "pos").alias("id"), *(c for c in raw.columns if c != "pos"))
     tags = _titled(_bank(every, "tag_bank"), index).select(_id("dictionary", "file", "pos").alias("id"), _at(0).alias("name"), _at(1).alias("category"), _at(2, "bigint").alias("tag_order"), _at(3).alias("notes"), _at(4, "bigint").alias("score"), "dictionary")
     kanji = _titled(_bank(every, "kanji_bank"), index).select(_at(0).alias("kanji_char"), "dictionary", F.nullif(_at(1), F.lit("")).alias("onyomi"), F.nullif(_at(2), F.lit("")).alias("kunyomi"), _at(3).alias("tags"), _at(4, "array<string>").alias("meanings"), _at(5, "map<string,string>").alias("stats"))
     metas = _titled(_bank(every, "term_meta_bank"), index)
