@@ -57,3 +57,10 @@ def test_status_of_ranges(spark):
     r = spark.createDataFrame([(k, "a") for k in (9, 10, 29, 30, 49, 50, 999)] + [(1, "z"), (2, None)], "k bigint, g string")
     got = {x.k: x.status for x in references.as_of_status(r, p, [("g", "g")], "k", "lo", "hi").collect()}
     assert got == {9: "not_yet", 10: None, 29: None, 30: "deleted", 49: "deleted", 50: None, 999: None, 1: "missing", 2: "missing"}
+
+
+def test_orphans_keep_clashing_columns(spark):
+    r = spark.createDataFrame([(1, "a", "x", "y", "z")], "k bigint, g string, _g0 string, _runs string, lo string")
+    p = spark.createDataFrame([("a", 5)], "g string, k bigint")
+    (got,) = references.orphans(r, p, [("g", "g")], "k", "k").collect()
+    assert tuple(got) == (1, "a", "x", "y", "z", "not_yet")

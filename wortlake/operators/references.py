@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wortlake.functions.names import fresh
+
 MISSING, LATER, GONE = "missing", "not_yet", "deleted"
 _FOREVER = 9223372036854775807
 
@@ -48,25 +50,26 @@ def as_of_status(references: DataFrame, parents: DataFrame, on: Sequence[tuple[s
 
     on: pairs (column of references, column of parents) that must be equal. Null on either side, or a null
     key, is missing. With slot_width every orphan is missing, and parents must be single keys (no hi).
-    An empty parent table makes every reference missing; repeated references are all kept.
+    An empty parent table makes every reference missing; repeated references are all kept. Other columns stay as they
+    are; one named status is replaced.
     """
-    group = [f"_g{i}" for i in range(len(on))]
+    *group, slot, runs_of = fresh(references.columns, *(f"_g{i}" for i in range(len(on))), "_slot", "_runs")
     source = parents.select(*(F.col(p).alias(g) for g, (_, p) in zip(group, on, strict=True)), F.col(lo).alias("_lo"), *([F.col(hi).alias("_hi")] if hi else []))
     if slot_width:
         if hi:
             raise ValueError("slot_width is for single keys")
-        group.append("_slot")
-        source = source.withColumn("_slot", F.floor(F.col("_lo") / slot_width))
-    runs = contiguous_runs(source, group, "_lo", "_hi" if hi else None).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_runs"))
+        group.append(slot)
+        source = source.withColumn(slot, F.floor(F.col("_lo") / slot_width))
+    runs = contiguous_runs(source, group, "_lo", "_hi" if hi else None).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias(runs_of))
     keyed = [F.col(r) for r, _ in on] + ([F.floor(F.col(key) / slot_width)] if slot_width else [])
     joined = references.join(runs, [k == F.col(g) for k, g in zip(keyed, group, strict=True)], "left")
-    preceding: Column = F.try_element_at(F.filter("_runs", lambda r: r["lo"] <= F.col(key)), F.lit(-1))
+    preceding: Column = F.try_element_at(F.filter(runs_of, lambda r: r["lo"] <= F.col(key)), F.lit(-1))
     status = (
-        F.when(F.col("_runs").isNull() | F.col(key).isNull(), MISSING)
+        F.when(F.col(runs_of).isNull() | F.col(key).isNull(), MISSING)
         .when(preceding.isNull(), MISSING if slot_width else LATER)
         .when(F.col(key) >= preceding["hi"], MISSING if slot_width else GONE)
     )
-    return joined.withColumn("status", status).drop(*group, "_runs")
+    return joined.withColumn("status", status).drop(*group, runs_of)
 
 
 def orphans(references: DataFrame, parents: DataFrame, on: Sequence[tuple[str, str]], key: str, lo: str, hi: str | None = None, *, slot_width: int | None = None) -> DataFrame:

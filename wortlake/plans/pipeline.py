@@ -203,6 +203,17 @@ def reachable(starts: DataFrame, keys: DataFrame, options: LookupOptions) -> Dat
     return joined.where(reach.isNotNull()).withColumn("rest", F.left("rest", reach)).select(*starts.columns)
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts over all cores: a text becomes hundreds of candidates, so few input splits would leave cores idle.
+
+    Only inputs of less than a split of 64 MB per core are shuffled (by the planner's estimate, no job is run for it).
+    """
+    spark = texts.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return texts.repartition(cores * 4, "query_id") if estimate < cores * (64 << 20) else texts
+
+
 def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions(), *, longest: int = LONGEST) -> DataFrame:
     """(query_id, original): the source texts in each text that have entries, from every start position."""
     names = lexicon.enabled.select(F.col("name").alias("dictionary"), "parts_of_speech_filter")
@@ -211,7 +222,7 @@ def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = Loo
     flags = deinflect.rule_flags(packed.unpack("rules"))
     # Of the lexicon only its keys are needed, with the flags they have: far fewer rows than terms.
     keys = terms.select(F.explode(F.array("expression", "reading")).alias("key"), flags.alias("flags"), "parts_of_speech_filter").where("key <> ''").distinct()
-    starts = substrings.suffixes(texts, "text", "lang", ["query_id", "lang"], longest)
+    starts = substrings.suffixes(spread(texts), "text", "lang", ["query_id", "lang"], longest)
     starts = reachable(starts, keys.select("key").distinct(), options)
     queries = starts.select(F.struct("query_id", "start").alias("query_id"), "lang", F.col("rest").alias("text"))
     found = candidates(queries, options, longest=longest).select(F.col("query_id.query_id").alias("query_id"), "original", "deinflected", "conditions")
