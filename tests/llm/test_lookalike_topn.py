@@ -55,3 +55,8 @@ def test_top_n(spark, heavy):
     assert topn.top_n(df.limit(0), "g", "s", ["i"], 7).count() == 0
     with pytest.raises(ValueError):
         topn.top_n(df, "g", "s", ["i"], 0)
+
+
+def test_top_n_clashing_columns(spark):
+    df = spark.createDataFrame([("g", i, i, "x", "y", "z") for i in range(9)], "g string, s int, i int, _band string, _filled string, rnk string")
+    assert sorted((r.rnk, r.i, r._band, r._filled) for r in topn.top_n(df, "g", "s", ["i"], 2, heavy=100).collect()) == [(1, 8, "x", "y"), (2, 7, "x", "y")]

@@ -15,11 +15,12 @@ a task and is never gathered.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wortlake.functions.names import fresh
+
 BANDS = 16
 HEAVY = 10_000
 
@@ -63,17 +64,18 @@ def top_n(df: DataFrame, group: str, score: str, tie: Sequence[str], n: int, *,
 
     Rows with null group or score are left out. Repeated rows count as rows; rows equal in score and all tie
     columns come in any order among themselves, so give a unique tie for a fixed result. Groups of fewer
-    rows come out whole, an empty table gives an empty one. `rank` counts from 1 and must not clash.
+    rows come out whole, an empty table gives an empty one. `rank` counts from 1; a column of that name is replaced.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     rows = df.where(F.col(group).isNotNull() & F.col(score).isNotNull())
     edges, total = band_edges(rows, score, bands)
-    band = next(name for name in (f"_band{i}" for i in count()) if name not in df.columns)
+    band, group_key, last = fresh(df.columns, "_band", "_filled", "_last")
     banded = rows.withColumn(band, band_of(score, edges))
     filled = filled_groups(banded.select(group, band), group, band, n, total / heavy)
     # Fewer than `heavy` groups hold more than total / heavy rows.
-    closed = (F.col(group) == F.col("_filled")) & (F.col(band) > F.col("_last"))
+    filled = filled.toDF(group_key, last)
+    closed = (F.col(group) == F.col(group_key)) & (F.col(band) > F.col(last))
     open_bands = banded.join(F.broadcast(filled), closed, "left_anti").drop(band)
     order = Window.partitionBy(group).orderBy(F.desc(score), *tie)
     return open_bands.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
