@@ -210,7 +210,7 @@ def spread(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    estimate = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return texts.repartition(cores * 4, "query_id") if estimate < cores * (64 << 20) else texts
 
 
