@@ -1,6 +1,26 @@
-"""SQL for the queries of this subpackage."""
+"""SQL for the queries of this subpackage, where SQL can express them."""
+
+from wortlake.llm.lookalike import _letters, look_table
+
+
+def _look(value: str) -> str:
+    """The prototype of a value in DuckDB's SQL: normal form C stands for the collation's equality of composed and decomposed forms."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    table = look_table()
+    for char, letters in table.items():
+        if len(letters) > 1 and _letters(ord(char)):
+            value = f"replace({value}, {quote(char)}, {quote(letters)})"
+    single = [(c, p) for c, p in table.items() if len(p) == 1]
+    gone = [c for c, p in table.items() if not p and c != "\0"]
+    source, target = "".join(c for c, _ in single) + "".join(gone), "".join(p for _, p in single)
+    return f"nfc_normalize(trim(translate({value}, {quote(source)}, {quote(target)}), ' '))"
+
 
 SQL = {
+    "p3_found": f"""
+WITH h AS (SELECT fld, headword_id, v, {_look("v")} AS look FROM (SELECT 'expression' AS fld, headword_id, headword AS v FROM headwords UNION ALL SELECT 'reading', headword_id, reading FROM headwords)),
+t AS (SELECT fld, import_ord, v, {_look("v")} AS look FROM (SELECT 'expression' AS fld, import_ord, expression AS v FROM terms UNION ALL SELECT 'reading', import_ord, reading FROM terms) WHERE v <> '')
+SELECT import_ord, fld, headword_id FROM t JOIN h USING (fld, look) WHERE t.v <> h.v""",
     "p4_found": """
 SELECT import_ord, CAST(rnk AS INTEGER) AS rnk FROM (
   SELECT import_ord, row_number() OVER (PARTITION BY expression ORDER BY score DESC, import_ord) AS rnk
