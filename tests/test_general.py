@@ -16,7 +16,7 @@ def test_unpack_cases(spark):
         '"n, proper" hum': ["n, proper", "hum"], '"so-called ""slang""" x': ['so-called "slang"', "x"], "'so-called \"slang\"' t": ['so-called "slang"', "t"],
         '["so-called \\"slang\\"", "\\u4fd7\\u8a9e"]': ['so-called "slang"', "俗語"], "“and/or”・「see also」，v5k": ["and/or", "see also", "v5k"],
         "a:b+c.d_e-f 動:1": ["a:b+c.d_e-f", "動:1"], '"" a ""': ["a"], "a0b": ["a", "0", "b"], 'x "0" y': ["x", "0", "y"],
-        'a"b c"d': ["a", "b c", "d"], "n n": ["n", "n"], 'open "quote': ["open", "quote"], "' '": [" "],
+        'a"b c"d': ["a", "b c", "d"], "n n": ["n", "n"], 'open "quote': ["open", "quote"], "' '": [" "], "„x y“ “z ü” ‹a b›": ["x y", "z ü", "a b"],
     }
     got = unpack(spark, list(cases))
     assert [got[i] for i in range(len(cases))] == list(cases.values())
@@ -40,7 +40,7 @@ def test_runs(spark):
     assert got == [("a", 1, 4), ("a", 5, 6), ("a", 9, 10)]
 
 
-@pytest.mark.parametrize("slot", [None, 16])
+@pytest.mark.parametrize("slot", [None, 16, references.SLOT])
 def test_orphans_of_single_keys(spark, slot):
     draw = random.Random(3)
     parents = [(draw.choice("ab"), draw.randrange(200)) for _ in range(150)]
@@ -63,4 +63,4 @@ def test_orphans_keep_clashing_columns(spark):
     r = spark.createDataFrame([(1, "a", "x", "y", "z")], "k bigint, g string, _g0 string, _runs string, lo string")
     p = spark.createDataFrame([("a", 5)], "g string, k bigint")
     (got,) = references.orphans(r, p, [("g", "g")], "k", "k").collect()
-    assert tuple(got) == (1, "a", "x", "y", "z", "not_yet")
+    assert tuple(got) == (1, "a", "x", "y", "z", "missing")

@@ -301,6 +301,12 @@ def test_search_prunes_nothing(spark):
         pipeline.reachable = kept
 
 
+def test_search_at(spark):
+    texts = spark.createDataFrame([(1, "So. A hot dog ran! Yes", "en", 7), (2, "cat", "en", 9)], "query_id int, text string, lang string, position int")
+    (first, second) = pipeline.search_at(texts, small_lexicon(spark)).orderBy("entry_rank").collect()
+    assert (first.term, first.original, tuple(first.sentence)) == ("hot dog", "hot dog", ("A hot dog ran!", 2)) and second.term == "hot"
+
+
 def test_notes(spark):
     lexicon = small_lexicon(spark)
     queries = spark.createDataFrame([(1, "cat", "en")], "query_id int, text string, lang string")

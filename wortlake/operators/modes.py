@@ -32,6 +32,8 @@ def group_entries(entries: DataFrame, by: Sequence[str], order: Sequence[str] =
         F.min_by("text_chains", "_tk").alias("text_chains"),
         F.bool_or("match_primary_reading").alias("match_primary_reading"),
         F.min("_o").alias("group_ord"),
+        # The primary source: the source text of the first primary entry.
+        F.min_by("original", F.when(F.col("is_primary"), F.col("_o"))).alias("original"),
         F.sort_array(F.collect_list(F.struct("_o", "_heads", "_def"))).alias("_rows"),
     )
     # One array holds the built entry, so that later steps refer to its fields and do not build it again.
@@ -89,6 +91,7 @@ def dedup_units(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         *(F.min(c).alias(c) for c in ("_o", "_ik", "_tk")),
         F.array_sort(F.flatten(F.collect_set("_heads"))).alias("_heads"),
         F.min_by("_def", "_o").alias("_d"),
+        F.min_by("original", "_o").alias("original"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_def.sequences")))).alias("_s"),
         F.array_distinct(F.flatten(F.collect_set("_def.definition_tags"))).alias("_t"),
     ).withColumn("_def", F.col("_d").withField("is_primary", F.col("is_primary")).withField("sequences", F.col("_s")).withField("definition_tags", F.col("_t")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The kinds of quotes, opening and closing, that enclose a value.
-CURLY_QUOTES = {"“": "”", "‘": "’", "「": "」", "『": "』", "«": "»"}
+CURLY_QUOTES = {"„": "“", "“": "”", "‘": "’", "「": "」", "『": "』", "«": "»", "‹": "›"}
 STRAIGHT_QUOTES = ('"', "'")
 
 _OPEN, _CLOSE = "\ue000", "\ue001"

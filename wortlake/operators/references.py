@@ -8,8 +8,9 @@ which a record existed (then deleted parents and parents that come later are fou
 The runs of one group are one row, so the references are joined once, on the group. Catalyst broadcasts the
 runs only if their estimated or measured size is below its threshold; else the join is a sort-merge join in
 which AQE splits hot groups of references (the side that is split is the outer side, the runs are
-replicated). With `slot_width`, runs are cut at multiples of it and the slot joins the group as a key: then
-a list of runs is bounded by half the slot width, however many parents a group has.
+replicated). Runs of single keys are cut at multiples of `slot_width` and the slot joins the group as a key: so
+a list of runs is bounded by half the slot width, however many parents a group has. Runs of ranges, the lifetimes of
+one record, are not cut.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from wortlake.functions.names import fresh
 
 MISSING, LATER, GONE = "missing", "not_yet", "deleted"
 _FOREVER = 9223372036854775807
+SLOT = 4096
 
 
 def contiguous_runs(parents: DataFrame, group: Sequence[str], lo: str, hi: str | None = None) -> DataFrame:
@@ -45,19 +47,19 @@ def contiguous_runs(parents: DataFrame, group: Sequence[str], lo: str, hi: str |
     return islands.groupBy(*group, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
-def as_of_status(references: DataFrame, parents: DataFrame, on: Sequence[tuple[str, str]], key: str, lo: str, hi: str | None = None, *, slot_width: int | None = None) -> DataFrame:
+def as_of_status(references: DataFrame, parents: DataFrame, on: Sequence[tuple[str, str]], key: str, lo: str, hi: str | None = None, *, slot_width: int | None = SLOT) -> DataFrame:
     """The references with a column `status`: null where the parent exists, else missing, not_yet or deleted.
 
     on: pairs (column of references, column of parents) that must be equal. Null on either side, or a null
-    key, is missing. With slot_width every orphan is missing, and parents must be single keys (no hi).
+    key, is missing. For single keys (no hi) slot_width bounds the lists of runs, and every orphan is missing, as what lies
+    in other slots is not looked at; slot_width=None looks at whole groups and tells the three apart.
     An empty parent table makes every reference missing; repeated references are all kept. Other columns stay as they
     are; one named status is replaced.
     """
     *group, slot, runs_of = fresh(references.columns, *(f"_g{i}" for i in range(len(on))), "_slot", "_runs")
     source = parents.select(*(F.col(p).alias(g) for g, (_, p) in zip(group, on, strict=True)), F.col(lo).alias("_lo"), *([F.col(hi).alias("_hi")] if hi else []))
+    slot_width = None if hi else slot_width
     if slot_width:
-        if hi:
-            raise ValueError("slot_width is for single keys")
         group.append(slot)
         source = source.withColumn(slot, F.floor(F.col("_lo") / slot_width))
     runs = contiguous_runs(source, group, "_lo", "_hi" if hi else None).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias(runs_of))
@@ -72,7 +74,7 @@ def as_of_status(references: DataFrame, parents: DataFrame, on: Sequence[tuple[s
     return joined.withColumn("status", status).drop(*group, runs_of)
 
 
-def orphans(references: DataFrame, parents: DataFrame, on: Sequence[tuple[str, str]], key: str, lo: str, hi: str | None = None, *, slot_width: int | None = None) -> DataFrame:
+def orphans(references: DataFrame, parents: DataFrame, on: Sequence[tuple[str, str]], key: str, lo: str, hi: str | None = None, *, slot_width: int | None = SLOT) -> DataFrame:
     """The rows of `as_of_status` whose parent does not exist."""
     return as_of_status(references, parents, on, key, lo, hi, slot_width=slot_width).where("status IS NOT NULL")
 

@@ -9,7 +9,7 @@ from wortlake.functions import textproc
 from wortlake.operators import deinflect, entries, filters, lookup, meta, modes, notes, packed, rank, segment
 from wortlake.plans import pipeline
 from wortlake.plans.general import _values_sql
-from wortlake.plans.lookups import DEINFLECTED, EN, LEX, deinflected_words, enabled, lexicon
+from wortlake.plans.lookups import DEINFLECTED, EN, LEX, anchors, deinflected_words, enabled, lexicon
 from wortlake.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -363,6 +363,13 @@ for _mode in modes.MODES:
     QUERIES[f"k104_find_terms_{_mode}"] = _find(_mode)
 
 
+@query("k39_search_at")
+def _(spark, root):
+    at = anchors(spark, root).select(F.col("doc_id").alias("query_id"), "text", "lang", F.col("start").alias("position"))
+    found = pipeline.search_at(at, pipeline.Lexicon.of(spark, root))
+    return found.select("query_id", "entry_rank", "entry_id", "term", "original", F.col("sentence.text").alias("sentence"), F.col("sentence.offset").alias("anchor"))
+
+
 @query("k94_search_segments")
 def _(spark, root):
     return pipeline.search(texts(spark, root), pipeline.Lexicon.of(spark, root))

@@ -47,7 +47,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found}
 
-_TOKEN = "|".join([r'"(?:[^"\\]|\\.|"")*"', r"''(?:[^''\\]|\\.|'''')*''", "“[^”]*”", "‘[^’]*’", "「[^」]*」", "『[^』]*』", "«[^»]*»", r"[\p{L}\p{Nd}_.:+-]+"])
+_TOKEN = "|".join([r'"(?:[^"\\]|\\.|"")*"', r"''(?:[^''\\]|\\.|'''')*''", "„[^“]*“", "“[^”]*”", "‘[^’]*’", "「[^」]*」", "『[^』]*』", "«[^»]*»", "‹[^›]*›", r"[\p{L}\p{Nd}_.:+-]+"])
 
 
 def _values_sql(field: str) -> str:
@@ -56,7 +56,7 @@ def _values_sql(field: str) -> str:
       WHEN t[1] = '"' AND contains(t, '\\') THEN json_extract_string(t, '$')
       WHEN t[1] = '"' THEN replace({inner}, '""', '"')
       WHEN t[1] = '''' THEN regexp_replace(replace({inner}, '''''', ''''), '\\\\(.)', '\\1', 'g')
-      WHEN t[1] IN ('“', '‘', '「', '『', '«') THEN {inner} ELSE t END), lambda t: t <> '')"""
+      WHEN t[1] IN ('„', '“', '‘', '「', '『', '«', '‹') THEN {inner} ELSE t END), lambda t: t <> '')"""
 
 
 _CASES = f"""

@@ -247,7 +247,7 @@ _ANCHORS = "a AS (SELECT doc_id, text, strpos(text, headword) AS s, length(headw
 
 def anchors(spark: SparkSession, root: str) -> DataFrame:
     heads = table(spark, root, "headwords").select("headword_id", "headword")
-    joined = table(spark, root, "documents").select("doc_id", "text", "headword_id").join(heads, "headword_id")
+    joined = table(spark, root, "documents").select("doc_id", "text", "lang", "headword_id").join(heads, "headword_id")
     return joined.withColumns({"start": F.expr("locate(headword, text)"), "size": F.length("headword")}).where("start > 0")
 
 

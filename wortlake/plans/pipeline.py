@@ -162,6 +162,17 @@ def find_terms(queries: DataFrame, lexicon: Lexicon, mode: str = "group", option
     return rank.rank_entries(rank.chain_sizes(keyed), per)
 
 
+def search_at(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> DataFrame:
+    """Search at one position of each text (query_id, text, lang, position from 1): the entries of the scan window there, with the sentence around the match.
+
+    Positions beyond the text find nothing.
+    """
+    scanned = texts.select("query_id", "lang", substrings.window(F.col("text"), F.col("position")).alias("text"))
+    found = find_terms(scanned, lexicon, "group", options)
+    around = substrings.sentence_around(F.col("text"), F.col("position"), F.length("original"))
+    return found.join(texts.select("query_id", "text", "position"), "query_id").withColumn("sentence", around).drop("text", "position")
+
+
 def _folded(text):
     """Equal for texts that processors make equal: the processors keep what this folds, and change nothing else."""
     return F.translate(F.replace(F.lower(textproc.to_hiragana(text)), F.lit("ß"), F.lit("ss")), "ё", "е")

@@ -13,7 +13,7 @@ from wortlake.options import Settings, StoreError
 
 TABLES = ("terms", "term_meta", "kanji", "kanji_meta", "tags", "summaries")
 KEYS = {"terms": ["id"], "term_meta": ["id"], "kanji": ["kanji_char", "dictionary"], "kanji_meta": ["kanji_char", "dictionary"], "tags": ["id"], "summaries": ["title"]}
-FOLDER = "lexicon"
+FOLDER, STAGING = "lexicon", "_staging"
 
 
 def last_written(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def resolve(path: str, *, create: bool = True) -> Path:
 
 
 class Store:
-    """Tables and settings under one folder. Writes replace only the partitions of the dictionaries written."""
+    """Tables and settings under one folder, which all executors share. Writes replace only the partitions of the dictionaries written."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.root = spark, resolve(path)
@@ -81,25 +81,24 @@ class Store:
     def write(self, name: str, rows: DataFrame) -> None:
         """Upserts rows: the dictionaries among them are merged with what the store has of them and their partitions replaced."""
         column = "title" if name == "summaries" else "dictionary"
-        merged = rows
-        if self.has(name):
-            touched = rows.select(column).distinct()
-            merged = upsert(self.table(name).join(touched, column, "left_semi"), rows, KEYS[name])
-            # The store is read and written at once, so the lineage is cut before the partitions are replaced.
-            merged = merged.checkpoint() if self.spark.sparkContext.getCheckpointDir() else merged.persist()
-            merged.count()
-        else:
-            merged = last_written(rows, KEYS[name], [o for o in ("import_ord",) if o in rows.columns] or KEYS[name])
-        writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(column).parquet(self.path(name))
+        if not self.has(name):
+            last = last_written(rows, KEYS[name], [o for o in ("import_ord",) if o in rows.columns] or KEYS[name])
+            last.write.partitionBy(column).parquet(self.path(name))
+            return
+        touched = rows.select(column).distinct()
+        merged = upsert(self.table(name).join(touched, column, "left_semi"), rows, KEYS[name])
+        # The result reads the partitions it replaces, so it is written beside them first; a lost task can then not read what is gone.
+        staged = str(self.root / STAGING / name)
+        merged.write.mode("overwrite").parquet(staged)
+        ready = self.spark.read.parquet(staged)
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(self.path(name))
+        shutil.rmtree(staged, ignore_errors=True)
 
     def summaries(self) -> DataFrame:
         return self.table("summaries").orderBy("import_date", "title")
 
     def delete(self, dictionary: str) -> None:
         """Removes a dictionary from all tables (its partitions) and from all profiles."""
-        from pyspark.sql.utils import AnalysisException  # noqa: F401
-
         escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dictionary)
         for name in filter(self.has, TABLES):
             column = "title" if name == "summaries" else "dictionary"
