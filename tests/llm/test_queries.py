@@ -15,4 +15,5 @@ def test_packing_is_tight(spark):
     from wortlake.llm.queries import CAPACITY
 
     used = QUERIES["p7_packed"](spark, SF).selectExpr("sum(length) AS n", "count(DISTINCT container) AS k").first()
-    assert used.n / (used.k * CAPACITY) > 0.8
+    # The incomplete containers of each class weigh at this size; at sf0.1 they do not.
+    assert used.k <= used.n / CAPACITY / 0.93 + 12

@@ -3,8 +3,9 @@
 Method: harmonic packing. Lengths fall into classes by reciprocal of the capacity: k items of a length in
 (capacity / (k + 1), capacity / k] fill a container of class k, whichever they are. So the containers of a
 class are filled by counting, k items each, in every shard for itself: shards are made by a hash of the id and no
-shard waits for another. Lengths up to capacity / CLASSES are the sand: they are poured by prefix sums,
-first into what the containers of the shard have left, then into containers of their own.
+shard waits for another. Containers of classes 1 and 2, which would stay emptiest, first take one item of the greatest
+class that surely fits their room, again by counting. Lengths up to capacity / CLASSES are the sand: they are poured by
+prefix sums, first into what the containers of the shard have left, then into containers of their own.
 
 Everything is window functions over shards of some SHARD_ROWS rows, one shuffle, no Python, and nothing
 depends on the order in which rows arrive: a lost task gives the same containers again.
@@ -42,12 +43,35 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, *, rows: int, class
         .withColumn("length", F.least(F.lit(capacity).cast("bigint"), F.col("total") - F.col("first")))
         .withColumn("kind", F.when(F.col("length") > sand, F.floor(F.lit(capacity) / F.col("length")).cast("int")).otherwise(0))
     )
-    in_class = Window.partitionBy("shard", "kind").orderBy("item", "piece")
+    order = ("item", "piece")
+    in_class = Window.partitionBy("shard", "kind").orderBy(*order)
     numbered = pieces.withColumn("bin", F.when(F.col("kind") > 0, F.floor((F.row_number().over(in_class) - 1) / F.col("kind"))).cast("bigint"))
     in_bin = Window.partitionBy("shard", "kind", "bin")
+    first = F.row_number().over(in_bin.orderBy(*order)) == 1
+    # Containers of classes 1 and 2 leave the most. One with room for a whole item of class k or more (room in
+    # (capacity / k, capacity / (k - 1)]) is a host for one item of class k: the n-th host takes the n-th item.
+    left = capacity - F.sum("length").over(in_bin)
+    roomy = numbered.withColumn("left", F.when(F.col("kind").isin(1, 2) & first, left).otherwise(0))
+    host = F.col("left") > sand
+    matched = F.when(host, F.floor(F.lit(capacity) / F.col("left")).cast("int") + 1).when(F.col("kind") > 2, F.col("kind"))
+    sided = roomy.withColumn("host", host).withColumn("match", matched)
+    side = Window.partitionBy("shard", "match", "host").orderBy(*order)
+    paired = sided.withColumn("nth", F.when(F.col("match").isNotNull(), F.row_number().over(side))).withColumn(
+        "hosts", F.sum(F.col("host").cast("bigint")).over(Window.partitionBy("shard", "match"))
+    )
+    one = Window.partitionBy("shard", "match", "nth")
+    taken = F.max(F.when(F.col("host"), F.struct("kind", "bin"))).over(one)
+    guest = ~F.col("host") & F.col("match").isNotNull() & (F.col("nth") <= F.col("hosts"))
+    moved = paired.withColumn("_taken", taken).withColumn("guest", guest)
+    settled = moved.withColumn(
+        "bin",
+        F.when(F.col("guest"), F.col("_taken.bin"))
+        .when(F.col("match").isNotNull() & ~F.col("host"), F.floor((F.col("nth") - F.col("hosts") - 1) / F.col("kind")))
+        .otherwise(F.col("bin")),
+    ).withColumn("kind", F.when(F.col("guest"), F.col("_taken.kind")).otherwise(F.col("kind")))
     # What a container has left for sand: grains that start within `room` end within the capacity.
-    closing = (F.col("kind") > 0) & (F.row_number().over(in_bin.orderBy("item", "piece")) == 1)
-    filled = numbered.withColumn(
+    closing = (F.col("kind") > 0) & (F.row_number().over(in_bin.orderBy(*order)) == 1)
+    filled = settled.select("shard", "item", "piece", "first", "length", "kind", "bin").withColumn(
         "room", F.when(closing, F.greatest(capacity - F.sum("length").over(in_bin) - sand + 1, F.lit(0))).otherwise(0)
     )
     before = Window.partitionBy("shard").orderBy("kind", "bin", "item", "piece").rowsBetween(Window.unboundedPreceding, -1)
