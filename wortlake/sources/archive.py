@@ -70,7 +70,7 @@ def indexes(all_files: DataFrame) -> DataFrame:
     v = F.parse_json("body")
     get = lambda path, kind="string": F.try_variant_get(v, path, kind)
     rows = all_files.where("file = 'index.json'")
-    return rows.select("archive", get("$.title").alias("title"), get("$.revision").alias("revision"), F.coalesce(get("$.sequenced", "boolean"), F.lit(False)).alias("sequenced"), get("$.minimumYomitanVersion").alias("minimum_version"), F.coalesce(get("$.format", "int"), get("$.version", "int")).cast("smallint").alias("version"))
+    return rows.select("archive", get("$.title").alias("title"), get("$.revision").alias("revision"), F.coalesce(get("$.sequenced", "boolean"), F.lit(False)).alias("sequenced"), F.nullif(F.regexp_extract("body", r'"minimum\w*Version"\s*:\s*"([^"]*)"', 1), F.lit("")).alias("minimum_version"), F.coalesce(get("$.format", "int"), get("$.version", "int")).cast("smallint").alias("version"))
 
 
 def _titled(rows: DataFrame, index: DataFrame) -> DataFrame:
