@@ -326,3 +326,36 @@ def test_stream(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert got == ["hot dog"]
+
+
+def test_find_terms_enriches(spark):
+    lexicon = small_lexicon(spark)
+    metas = [
+        ("m1", "cat", "freq", "A", (None, 7, "7", True), None, None), ("m2", "cat", "freq", "B", ("cat", 3, "3", True), None, None), ("m3", "cat", "freq", "B", ("other", 9, "9", True), None, None), ("m4", "cat", "freq", "C", (None, 1, "1", True), None, None),
+        ("m5", "cat", "pitch", "A", None, ("cat", [(1, None, None, ["n"])]), None), ("m6", "cat", "ipa", "B", None, None, ("cat", [("kat", [])])),
+    ]
+    schema = f"id string, term string, mode string, dictionary string, freq struct<reading:string,value:bigint,display_value:string,display_value_parsed:boolean>, pitch {pipeline._PITCH}, ipa {pipeline._IPA}"
+    tags = spark.createDataFrame([(1, "n", "partOfSpeech", 2, "noun", 4, "A")], "import_ord bigint, name string, category string, tag_order bigint, notes string, score bigint, dictionary string")
+    lexicon = pipeline.Lexicon(lexicon.terms.withColumn("term_tags", F.when(F.col("id") == "2", "top").otherwise("")), spark.createDataFrame(metas, schema), tags, lexicon.options)
+    queries = spark.createDataFrame([(1, "cats ran", "en")], "query_id int, text string, lang string")
+    rows = {r.term: r for r in pipeline.find_terms(queries, lexicon, "group").collect()}
+    cat = rows["cat"]
+    assert [(f.meta_id, f.frequency, f.has_reading) for f in cat.frequencies] == [("m1", 7, False), ("m2", 3, True)]
+    assert [(p.kind, p.position, p.ipa, [(t.name, t.category) for t in p.tags]) for p in cat.pronunciations] == [("pitch", 1, None, [("n", "partOfSpeech")]), ("ipa", None, "kat", [])]
+    assert [(d.id, [(t.name, t.category, t.content, t.redundant) for t in d.tags]) for d in cat.definitions] == [("1", [("n", "partOfSpeech", ["noun"], False)]), ("2", [])]
+    assert [(t.name, t.category, t.dictionaries) for t in cat.headwords[0].tags] == [("top", "default", ["B"])]
+    assert rows["cats"].frequencies == [] and {r.matched_length for r in rows.values()} == {4}
+    simple = {r.entry_id: r for r in pipeline.find_terms(queries, lexicon, "simple", LookupOptions(sort_frequency_dictionary="B")).collect()}
+    assert [f.meta_id for f in simple["1"].frequencies] == ["m2"] and simple["1"].pronunciations == [] and simple["1"].frequency_order == 3
+
+
+def test_merge_hides_a_disabled_main(spark):
+    queries = spark.createDataFrame([(1, "off", "en"), (2, "cat", "en")], "query_id int, text string, lang string")
+    rows = pipeline.find_terms(queries, small_lexicon(spark), "merge", LookupOptions(main_dictionary="C")).collect()
+    assert {r.query_id for r in rows} == {2} and {d.dictionary for r in rows for d in r.definitions} == {"A", "B"}
+
+
+def test_redundant_tags(spark):
+    df = spark.sql("SELECT array(named_struct('dictionary', 'A', 'tags', array(named_struct('name', 'n', 'category', 'partOfSpeech'))), named_struct('dictionary', 'A', 'tags', array(named_struct('name', 'n', 'category', 'partOfSpeech'), named_struct('name', 'x', 'category', 'default'))), named_struct('dictionary', 'B', 'tags', array(named_struct('name', 'n', 'category', 'partOfSpeech')))) AS d")
+    got = df.select(filters.flag_redundant_tags(F.col("d")).alias("d")).first().d
+    assert [[t.redundant for t in d.tags] for d in got] == [[False], [True, False], [False]]

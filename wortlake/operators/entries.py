@@ -34,7 +34,7 @@ def keep_longest(matches: DataFrame, per: Sequence[str]) -> DataFrame:
     """Per query and id only the matches of the longest transformed text, in bytes; equal lengths are merged into one row.
 
     The merged row has inflections, an array of (source, rules) merged by `merge_inflections`' rule, the
-    distinct text chains, and the greatest original length. Columns that belong to the id are taken as any.
+    distinct text chains, and the greatest original length of all matches as longest_original. Columns that belong to the id are taken as any.
     """
     keys = [*per, "id"]
     # max_by over (length) alone would lose ties, so chains carry their length and the longest are kept after grouping.
@@ -43,12 +43,14 @@ def keep_longest(matches: DataFrame, per: Sequence[str]) -> DataFrame:
     grouped = matches.groupBy(*keys).agg(
         F.collect_set(chain).alias("_chains"),
         F.max_by(F.struct(*rest, "original", "deinflected"), F.struct(F.octet_length("transformed"), F.octet_length("original"), F.col("deinflected"))).alias("_row"),
+        F.max(F.octet_length("original")).alias("longest_original"),
     )
     longest = F.array_max(F.transform("_chains", lambda c: c["size"]))
     kept = grouped.withColumn("_top", longest).withColumn("_chains", F.filter("_chains", lambda c: c["size"] == F.col("_top")))
     return kept.select(
         *keys,
         "_row.*",
+        "longest_original",
         merged_inflections(F.col("_chains")).alias("inflections"),
         F.array_sort(F.array_distinct(F.transform("_chains", lambda c: F.array_sort(c["text_chain"])))).alias("text_chains"),
     )

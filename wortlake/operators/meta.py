@@ -47,6 +47,12 @@ def frequency_order(entries: DataFrame, freqs: DataFrame, keys: list[str], dicti
     return entries.join(sort, keys, "left").withColumn("frequency_order", F.coalesce("_f", F.lit(MAX if ascending else 0))).drop("_f")
 
 
+def frequency_value(frequencies: Column, dictionary: str, *, ascending: bool = True) -> Column:
+    """frequency_order of an array of frequencies of one entry or definition, as `frequency_order` has it of rows."""
+    values = F.transform(F.filter(frequencies, lambda f: f["meta_dictionary"] == dictionary), lambda f: f["frequency"])
+    return F.coalesce(F.array_min(values), F.lit(MAX)) if ascending else F.coalesce(-F.array_max(values), F.lit(0))
+
+
 def number_of(value: Column, parsed: Column) -> Column:
     """A frequency's number where it was parsed, else null."""
     return F.when(parsed, value)

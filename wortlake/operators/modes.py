@@ -35,12 +35,17 @@ def group_entries(entries: DataFrame, by: Sequence[str], order: Sequence[str] =
         # The primary source: the source text of the first primary entry.
         F.min_by("original", F.when(F.col("is_primary"), F.col("_o"))).alias("original"),
         F.sort_array(F.collect_list(F.struct("_o", "_heads", "_def"))).alias("_rows"),
+        *_matched(rows),
     )
     # One array holds the built entry, so that later steps refer to its fields and do not build it again.
     built = F.element_at(F.transform(F.array(F.struct("_rows", _heads().alias("heads"))), _assembled), 1)
     return first.withColumn("_built", built).select("*", "_built.*").drop("_rows", "_built")
 
 
+def _matched(rows: DataFrame) -> list[Column]:
+    return [F.max("matched_length").alias("matched_length")] if "matched_length" in rows.columns else []
+
+
 def _heads() -> Column:
     return F.flatten(F.transform("_rows", lambda r: r["_heads"]))
 
@@ -63,7 +68,7 @@ def _assembled(group: Column) -> Column:
 def _units(entries: DataFrame, order: Sequence[str]) -> DataFrame:
     """Entries with what their group needs: the order, the keys of the shortest chains, one headword and one definition."""
     primary, at = F.col("is_primary"), F.struct(*order)
-    head = F.struct(F.to_json(F.struct("expression", "norm_reading")).alias("key"), F.col("expression").alias("term"), "reading", "match_source", "is_primary")
+    head = F.struct(F.to_json(F.struct("expression", "norm_reading")).alias("key"), F.col("expression").alias("term"), "reading", "match_source", "is_primary", _tag_names(entries).alias("tag_names"))
     definition = F.struct("id", "dictionary", "dictionary_index", "score", F.array("sequence").alias("sequences"), "is_primary", "glossary", "definition_tags")
     return entries.withColumns(
         {
@@ -78,6 +83,12 @@ def _units(entries: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def _tag_names(entries: DataFrame) -> Column:
+    """The term tags of an entry with its dictionary, for the headword it belongs to."""
+    names = F.coalesce("term_tags", F.array().cast("array<string>")) if "term_tags" in entries.columns else F.array().cast("array<string>")
+    return F.transform(names, lambda n: F.struct(F.col("dictionary").alias("dictionary"), n.alias("name")))
+
+
 def dedup_units(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Definitions with one dictionary and glossary merged: primary if any is, sequences, headwords and tags united."""
     same = rows.withColumn("_g", F.to_json("_def.glossary")).groupBy(*by, "dictionary", "_g")
@@ -94,6 +105,7 @@ def dedup_units(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         F.min_by("original", "_o").alias("original"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_def.sequences")))).alias("_s"),
         F.array_distinct(F.flatten(F.collect_set("_def.definition_tags"))).alias("_t"),
+        *_matched(rows),
     ).withColumn("_def", F.col("_d").withField("is_primary", F.col("is_primary")).withField("sequences", F.col("_s")).withField("definition_tags", F.col("_t")))
 
 
@@ -105,6 +117,7 @@ def _headword(rows: Column) -> Column:
         one["reading"].alias("reading"),
         F.exists(rows, lambda h: h["is_primary"] & (h["match_source"] == "term")).alias("primary_term"),
         F.array_distinct(F.transform(rows, lambda h: h["match_source"])).alias("sources"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(rows, lambda h: h["tag_names"])))).alias("tag_names"),
     )
 
 

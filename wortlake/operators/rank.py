@@ -49,13 +49,13 @@ def sort_headwords(headwords: Column) -> Column:
     return F.array_sort(headwords, compare)
 
 
-def sort_definitions(definitions: Column) -> Column:
-    """Definition structs by frequency_order if they have it, dictionary index, score (descending), number of headword indices (descending), those indices, index."""
+def sort_definitions(definitions: Column, *, by_frequency: bool = False) -> Column:
+    """Definition structs by frequency_order (if by_frequency), dictionary index, score (descending), number of headword indices (descending), those indices, index."""
     key = lambda d: F.struct(
-        d["dictionary_index"].alias("a"), (-d["score"]).alias("b"), (-F.size(d["headword_indices"])).alias("c"), d["headword_indices"].alias("d"), d["index"].alias("e"), d.alias("v")
+        (d["frequency_order"] if by_frequency else F.lit(0)).alias("o"), d["dictionary_index"].alias("a"), (-d["score"]).alias("b"), (-F.size(d["headword_indices"])).alias("c"), d["headword_indices"].alias("d"), d["index"].alias("e"), d.alias("v")
     )
     # The definition itself is behind a unique index and never compared.
-    return F.transform(F.array_sort(F.transform(definitions, key), lambda x, y: _by(x, y, "abcde")), lambda x: x["v"])
+    return F.transform(F.array_sort(F.transform(definitions, key), lambda x, y: _by(x, y, "oabcde")), lambda x: x["v"])
 
 
 def _by(x: Column, y: Column, fields: str) -> Column:

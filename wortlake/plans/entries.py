@@ -354,7 +354,7 @@ def texts(spark: SparkSession, root: str) -> DataFrame:
 def _find(mode: str):
     def run(spark, root):
         found = pipeline.find_terms(queries_of_headwords(spark, root), pipeline.Lexicon.of(spark, root), mode, pipeline.LookupOptions(main_dictionary=main_dictionary(spark, root)))
-        return found.select("query_id", "entry_rank", "entry_id", "term", "reading", "score", "n_definitions", "exact_count")
+        return found.select("query_id", "entry_rank", "entry_id", "term", "reading", "score", "n_definitions", "exact_count", "matched_length", "frequency_order", "headwords", "definitions", "frequencies", "pronunciations")
 
     return run
 
@@ -367,7 +367,7 @@ for _mode in modes.MODES:
 def _(spark, root):
     at = anchors(spark, root).select(F.col("doc_id").alias("query_id"), "text", "lang", F.col("start").alias("position"))
     found = pipeline.search_at(at, pipeline.Lexicon.of(spark, root))
-    return found.select("query_id", "entry_rank", "entry_id", "term", "original", F.col("sentence.text").alias("sentence"), F.col("sentence.offset").alias("anchor"))
+    return found.select("query_id", "entry_rank", "entry_id", "term", "original", "matched_length", "frequencies", "pronunciations", F.col("sentence.text").alias("sentence"), F.col("sentence.offset").alias("anchor"))
 
 
 @query("k94_search_segments")

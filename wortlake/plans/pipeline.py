@@ -6,9 +6,9 @@ group and rank never spans more than one query.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wortlake.functions import textproc
@@ -129,16 +129,109 @@ def as_entries(found: DataFrame, primary: str = "") -> DataFrame:
 ENTRY = ("query_id", "lang", "id", "expression", "reading", "norm_reading", "dictionary", "dictionary_index", "alias", "sequence", "score", "is_primary", "match_primary_reading", "match_source", "original", "deinflected", "max_length", "exact_count", "inflections", "text_chains", "definition_tags", "term_tags", "glossary", "entry_ord")
 
 
+#: Types of what a lexicon may lack, and the order of metas within an entry.
+_PITCH = "struct<reading:string,pitches:array<struct<position:int,nasal:array<smallint>,devoice:array<smallint>,tags:array<string>>>>"
+_IPA = "struct<reading:string,transcriptions:array<struct<ipa:string,tags:array<string>>>>"
+_TAG = {"category": "string", "tag_order": "bigint", "notes": "string", "score": "bigint", "dictionary": "string", "import_ord": "bigint"}
+META_ORDER = ("headword_index", "dictionary_index", "index", "meta_id")
+
+
+def _with_missing(rows: DataFrame, types: dict[str, str]) -> DataFrame:
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in rows.columns})
+
+
+def with_hidden_main(lexicon: Lexicon, options: LookupOptions) -> tuple[Lexicon, LookupOptions]:
+    """For merge mode: a main dictionary that is not enabled is searched all the same, as the last one, and left out of the result."""
+    enabled = [r["name"] for r in lexicon.enabled.select("name").collect()]
+    searched, hidden = filters.auto_excluded(options.main_dictionary, enabled)
+    if not options.main_dictionary or not hidden:
+        return lexicon, options
+    given = {"name": F.lit(options.main_dictionary), "alias": F.lit(options.main_dictionary), "enabled": F.lit(True), "allow_secondary_searches": F.lit(False), "parts_of_speech_filter": F.lit(True), "use_deinflections": F.lit(True)}
+    added = lexicon.options.agg((F.max("ord") + 1).alias("ord")).select(*(c.alias(n) for n, c in given.items()), "ord")
+    shown = lexicon.options.where(F.col("name").isin(enabled)).select(*added.columns)
+    return replace(lexicon, options=shown.unionByName(added)), replace(options, excluded=(*options.excluded, *hidden))
+
+
+def enrich(entries: DataFrame, lexicon: Lexicon, options: LookupOptions, *, simple: bool = False) -> DataFrame:
+    """Adds frequencies, pronunciations and expanded tags to entries (with entry_key, headwords and definitions) and orders their definitions.
+
+    Metas come from the enabled dictionaries that are not excluded, ordered by META_ORDER. Tags are expanded and grouped per owner:
+    those of definitions (with `redundant` for repeated parts of speech), of headwords and of pronunciations. Simple mode has no tags and
+    only the frequencies of the sort dictionary.
+    """
+    entries, sort = cut(entries), options.sort_frequency_dictionary
+    heads = entries.select("entry_key", F.posexplode("headwords").alias("headword_index", "_h")).select("entry_key", "headword_index", "_h.term", "_h.reading")
+    shown = lexicon.enabled.where(~F.col("name").isin(*options.excluded)) if options.excluded else lexicon.enabled
+    shown = shown.select(F.col("name").alias("meta_dictionary"), F.coalesce(F.nullif("alias", F.lit("")), F.col("name")).alias("meta_alias"), "dictionary_index")
+    metas = _with_missing(lexicon.metas, {"pitch": _PITCH, "ipa": _IPA})
+    metas = metas.where((F.col("dictionary") == sort) & (F.col("mode") == "freq") if sort else F.lit(False)) if simple else metas
+
+    def listed(rows: DataFrame, name: str, *fields) -> DataFrame:
+        return rows.join(shown, "meta_dictionary").select("entry_key", F.struct(*META_ORDER, "meta_dictionary", "meta_alias", *fields).alias(name))
+
+    freqs = listed(meta.frequencies(heads, metas).withColumn("index", F.lit(0)), "frequencies", "has_reading", "frequency", "display_value", "display_value_parsed")
+    pitches = meta.pitches(heads, metas).withColumns({"kind": F.lit("pitch"), "ipa": F.lit(None).cast("string")})
+    spoken = meta.transcriptions(heads, metas).withColumns({"kind": F.lit("ipa"), "position": F.lit(None).cast("int"), "nasal": F.array().cast("array<smallint>"), "devoice": F.array().cast("array<smallint>")})
+    spoken = listed(pitches.unionByName(spoken), "pronunciations", "kind", "position", "nasal", "devoice", "ipa", "tags")
+
+    definitions = entries.select("entry_key", F.explode("definitions").alias("_d")).select("entry_key", _owner("d", F.col("_d.index")).alias("owner"), "_d.dictionary", F.explode("_d.definition_tags").alias("tag_name"))
+    named = entries.select("entry_key", F.posexplode("headwords").alias("_i", "_h")).select("entry_key", _owner("h", F.col("_i")).alias("owner"), F.explode("_h.tag_names").alias("_t"))
+    named = named.select("entry_key", "owner", F.col("_t.dictionary").alias("dictionary"), F.col("_t.name").alias("tag_name"))
+    said = spoken.select("entry_key", _said("pronunciations").alias("owner"), F.col("pronunciations.meta_dictionary").alias("dictionary"), F.explode("pronunciations.tags").alias("tag_name"))
+    names = definitions.unionByName(named).unionByName(said).where("tag_name <> ''")
+    names = names.where(~F.col("dictionary").isin(*options.excluded)) if options.excluded else names
+    expanded = modes.expand_tags(names.where(F.lit(not simple)), _with_missing(lexicon.tags, _TAG))
+    expanded = expanded.select("entry_key", "owner", "dictionary", F.col("tag_name").alias("name"), "category", "tag_order", F.col("tag_score").alias("score"), F.try_element_at("content", F.lit(1)).alias("notes"))
+    tags = modes.merge_similar_tags(expanded, ["entry_key", "owner"]).select("entry_key", F.struct("owner", "tag_order", "name", "category", "score", "dictionaries", "content").alias("_tags"))
+
+    rows = freqs.unionByName(spoken, allowMissingColumns=True).unionByName(tags, allowMissingColumns=True)
+    added = ("frequencies", "pronunciations", "_tags")
+    lists = rows.groupBy("entry_key").agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in added))
+    joined = entries.join(lists, "entry_key", "left").withColumns({c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)) for c in added})
+
+    def own(owner):
+        return F.transform(F.filter("_tags", lambda t: t["owner"] == owner), lambda t: t.dropFields("owner"))
+
+    def tagged(d):
+        d = d.withField("tags", own(_owner("d", d["index"])))
+        theirs = F.filter("frequencies", lambda f: F.array_contains(d["headword_indices"], f["headword_index"]))
+        return d.withField("frequency_order", meta.frequency_value(theirs, sort, ascending=options.sort_frequency_order == "ascending") if sort else F.lit(0).cast("bigint"))
+
+    out = joined.withColumns(
+        {
+            "headwords": F.transform("headwords", lambda h, i: h.withField("tags", own(_owner("h", i)))),
+            "definitions": F.transform("definitions", tagged),
+            "pronunciations": F.transform("pronunciations", lambda p: p.withField("tags", own(_said(p)))),
+        }
+    )
+    out = out.withColumn("definitions", filters.flag_redundant_tags(F.col("definitions")))
+    return out.withColumn("definitions", rank.sort_definitions(F.col("definitions"), by_frequency=True)).drop("_tags")
+
+
+def _owner(kind: str, index):
+    return F.concat(F.lit(kind), index.cast("string"))
+
+
+def _said(pronunciation):
+    p = F.col(pronunciation) if isinstance(pronunciation, str) else pronunciation
+    return F.concat_ws(":", F.lit("p"), p["kind"], p["headword_index"].cast("string"), p["index"].cast("string"), p["meta_id"])
+
+
 def find_terms(queries: DataFrame, lexicon: Lexicon, mode: str = "group", options: LookupOptions = LookupOptions()) -> DataFrame:
-    """The entries of each query, ranked: one row per entry with headwords, definitions, scores and entry_rank.
+    """The entries of each query, ranked: one row per entry with headwords, definitions, frequencies, pronunciations, tags, scores, matched_length and entry_rank.
 
     Modes: simple and split leave entries as they are (one headword, one definition each), group merges by headword, merge
     by sequence of the main dictionary. Queries without entries give no row.
     """
     if mode not in modes.MODES:
         raise ValueError(f"no such mode: {mode}")
-    found = as_entries(matches(candidates(queries, options), index(lexicon)), options.primary_reading).select(*ENTRY)
+    if mode == "merge":
+        lexicon, options = with_hidden_main(lexicon, options)
     per = ["query_id"]
+    found = as_entries(matches(candidates(queries, options), index(lexicon)), options.primary_reading)
+    # Of all matches of a query, before anything is left out.
+    found = found.withColumn("matched_length", F.max("longest_original").over(Window.partitionBy(*per))).select(*ENTRY, "matched_length")
+    by = {"group": ["expression", "norm_reading", "infl_key"], "merge": ["merge_key"]}.get(mode, ["id"])
     if mode == "group":
         grouped = modes.by_headword(found, per)
     elif mode == "merge":
@@ -152,10 +245,10 @@ def find_terms(queries: DataFrame, lexicon: Lexicon, mode: str = "group", option
     grouped = filters.exclude_dictionaries(grouped, options.excluded) if options.excluded else grouped
     first = F.element_at("headwords", 1)
     keyed = grouped.withColumns({"term": first["term"], "reading": first["reading"], "n_definitions": F.size("definitions"), "entry_id": F.element_at("definitions", 1)["id"]})
+    keyed = enrich(keyed.withColumn("entry_key", F.to_json(F.struct(*per, *by))), lexicon, options, simple=mode == "simple")
     if options.sort_frequency_dictionary:
-        heads = keyed.select("query_id", "entry_id", "term", "reading").distinct()
-        freqs = meta.frequencies(heads, lexicon.metas, options.sort_frequency_dictionary)
-        keyed = meta.frequency_order(keyed, freqs, ["query_id", "entry_id"], options.sort_frequency_dictionary, ascending=options.sort_frequency_order == "ascending")
+        order = meta.frequency_value(F.col("frequencies"), options.sort_frequency_dictionary, ascending=options.sort_frequency_order == "ascending")
+        keyed = keyed.withColumn("frequency_order", order)
     else:
         keyed = keyed.withColumn("frequency_order", F.lit(0))
     keyed = keyed.withColumn("inflections", F.transform("inflections", lambda i: i.withField("rules", deinflect.display_rules(i["rules"]))))
@@ -253,6 +346,6 @@ def search_entries(texts: DataFrame, lexicon: Lexicon, options: LookupOptions =
     langs = texts.select("query_id", "lang")
     distinct = segments.where("matched").join(langs, "query_id").select(F.struct("segment", textproc.base_language("lang").alias("lang")).alias("query_id"), F.col("segment").alias("text"), "lang").dropDuplicates(["query_id"])
     ranked = find_terms(distinct, lexicon, "group", options).where(F.element_at("headwords", 1).isNotNull())
-    found = ranked.select(F.col("query_id.segment").alias("segment"), F.col("query_id.lang").alias("_lang"), "term", "reading", "entry_id", "entry_rank", "score", "n_definitions")
+    found = ranked.select(F.col("query_id.segment").alias("segment"), F.col("query_id.lang").alias("_lang"), "term", "reading", "entry_id", "entry_rank", "score", "n_definitions", "frequencies", "pronunciations")
     keyed = segments.join(langs.select("query_id", textproc.base_language("lang").alias("_lang")), "query_id")
     return keyed.join(found, ["segment", "_lang"], "left").drop("_lang")
