@@ -359,3 +359,16 @@ def test_redundant_tags(spark):
     df = spark.sql("SELECT array(named_struct('dictionary', 'A', 'tags', array(named_struct('name', 'n', 'category', 'partOfSpeech'))), named_struct('dictionary', 'A', 'tags', array(named_struct('name', 'n', 'category', 'partOfSpeech'), named_struct('name', 'x', 'category', 'default'))), named_struct('dictionary', 'B', 'tags', array(named_struct('name', 'n', 'category', 'partOfSpeech')))) AS d")
     got = df.select(filters.flag_redundant_tags(F.col("d")).alias("d")).first().d
     assert [[t.redundant for t in d.tags] for d in got] == [[False], [True, False], [False]]
+
+
+def test_chains_of_any_length(spark):
+    words = [("stenen" + "st" * 3, "de"), ("tttt", "de"), ("catsssss", "en"), ("食べなくてなくて", "ja"), ("lynesslyness", "en"), ("x", "xx")]
+    rows = spark.createDataFrame(words, "w string, lang string")
+    found = deinflect.all_deinflections(deinflect.as_candidates(rows, "w", ["lang"]), "lang").collect()
+    got = sorted((r.original, r.lang, r.deinflected, r.conditions, tuple(r.rules)) for r in found)
+    assert got == sorted((w, lang, *x) for w, lang in words for x in naive_deinflect(w, lang, 40)) and max(len(r[4]) for r in got) > 4
+    with pytest.raises(ValueError):
+        deinflect.weights([("grow", "en", "a", "aa", 0, 0, "")])
+    queries = spark.createDataFrame([(1, "catsss", "en")], "query_id int, text string, lang string")
+    assert "cat" in {r.term for r in pipeline.find_terms(queries, small_lexicon(spark), "simple").collect()}
+    assert {r.original for r in pipeline.search_keys(spark.createDataFrame([(1, "a catssssssssssssss b", "en")], "query_id int, text string, lang string"), small_lexicon(spark)).collect()} == {"catssssssssssssss"}

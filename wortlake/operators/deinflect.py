@@ -92,6 +92,57 @@ def deinflections(candidates: DataFrame, chains: DataFrame, lang: str) -> DataFr
     return ended.join(keyed, fits).select(*(made.get(c, F.col(c)).alias(c) for c in candidates.columns)).where("deinflected <> ''")
 
 
+def weights(rules: Sequence[tuple] = RULES) -> dict[str, int]:
+    """A weight per character under which every rule makes a text lighter: the proof that chains end, and after how many steps.
+
+    Rules without such weights (that could go on for ever) are an error.
+    """
+    out = {c: 1 for r in rules for c in r[2] + r[3]}
+    total = lambda text: sum(out[c] for c in text)
+    for _ in range(len(rules) * (len(out) + 1)):
+        heavy = [r for r in rules if total(r[2]) <= total(r[3])]
+        if not heavy:
+            return out
+        for _, _, given, left, *_ in heavy:
+            lost = [c for c in given if given.count(c) > left.count(c)]
+            if not lost:
+                raise ValueError(f"chains of this rule may not end: {given} to {left}")
+            out[lost[0]] += total(left) - total(given) + 1 if total(given) <= total(left) else 0
+    raise ValueError("chains of these rules may not end")
+
+
+def all_deinflections(candidates: DataFrame, lang: str, rules: Sequence[tuple] = RULES) -> DataFrame:
+    """As `deinflections`, with chains of any length. The candidates have no rules yet.
+
+    Chains of two come from the table; what they leave goes on, step by step within the row, until no rule fits. The rows that
+    do are few, and the number of steps is bounded by the weight of the text, which every step lowers.
+    """
+    made = deinflections(candidates, rule_table(candidates.sparkSession, rules), lang)
+    one = lambda r: F.struct(*(F.lit(v).alias(n) for n, v in (("id", r[0]), ("lang", r[1]), ("given", r[2]), ("left", r[3]))), *(F.lit(v).cast("bigint").alias(n) for n, v in (("cin", r[4]), ("cout", r[5]))))
+    table = F.array(*map(one, rules))
+
+    def fits(r: Column, c: Column) -> Column:
+        return (r["lang"] == F.col(lang)) & F.endswith(c["deinflected"], r["given"]) & ((c["conditions"] == 0) | (r["cin"] == 0) | (c["conditions"].bitwiseAND(r["cin"]) != 0))
+
+    def applied(r: Column, c: Column) -> Column:
+        text = F.concat(F.left(c["deinflected"], F.length(c["deinflected"]) - F.length(r["given"])), r["left"])
+        return F.struct(text.alias("deinflected"), r["cout"].alias("conditions"), F.concat(F.array(r["id"]), c["rules"]).alias("rules"))
+
+    def step(acc: Column, _: Column) -> Column:
+        level = F.flatten(F.transform(acc["level"], lambda c: F.transform(F.filter(table, lambda r: fits(r, c)), lambda r: applied(r, c))))
+        level = F.filter(level, lambda c: c["deinflected"] != "")
+        return F.struct(F.concat(acc["all"], acc["level"]).alias("all"), level.alias("level"))
+
+    own = F.struct("deinflected", F.col("conditions"), F.col("rules"))
+    kind = "array<struct<deinflected:string,conditions:bigint,rules:array<string>>>"
+    start = F.struct(F.array().cast(kind).alias("all"), F.array(own).cast(kind).alias("level"))
+    most = F.lit(max([1, *weights(rules).values()])) * F.length("deinflected") + 1
+    goes_on = (F.size("rules") == 2) & F.exists(table, lambda r: fits(r, own))
+    further = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["all"])
+    rows = made.withColumn("_c", F.explode(F.when(goes_on, further).otherwise(F.array(own).cast(kind))))
+    return rows.select(*(F.col(f"_c.{c}").alias(c) if c in ("deinflected", "conditions", "rules") else c for c in candidates.columns))
+
+
 def passes_pos(conditions: Column, flags: Column, pos_filter: Column) -> Column:
     """The part-of-speech filter of a dictionary: candidates without conditions pass, others must share a bit with the entry."""
     return ~F.coalesce(pos_filter, F.lit(False)) | (conditions == 0) | (conditions.bitwiseAND(flags) != 0)

@@ -47,7 +47,6 @@ def candidates(queries: DataFrame, options: LookupOptions, *, longest: int = LON
     Substrings by the language's way of writing (or options.search_resolution letter), cut to `longest`; then
     replacements and processors, then de-inflection, then processors after it.
     """
-    spark = queries.sparkSession
     texts = queries.select("query_id", textproc.base_language("lang").alias("lang"), F.col("text"))
     if options.remove_non_japanese:
         texts = texts.withColumn("text", F.when(F.col("lang").isin("ja", "zh", "yue"), substrings.cjk_prefix("text")).otherwise(F.col("text")))
@@ -61,7 +60,7 @@ def candidates(queries: DataFrame, options: LookupOptions, *, longest: int = LON
     rows = rows.withColumn("transformed", F.explode(_variants(F.col("original"), F.col("lang"), options))).select("*", F.col("transformed.v").alias("_v"), F.col("transformed.c").alias("text_chain"))
     rows = rows.select("query_id", "lang", "original", F.col("_v").alias("transformed"), F.col("_v").alias("deinflected"), F.lit(0).cast("bigint").alias("conditions"), empty.alias("rules"), "text_chain", F.lit("algorithm").alias("source"))
     if options.deinflect:
-        rows = deinflect.deinflections(rows, deinflect.rule_table(spark), "lang")
+        rows = deinflect.all_deinflections(rows, "lang")
         post = textproc.per_language(F.col("lang"), textproc.POSTPROCESSORS, lambda ps: _steps(F.col("deinflected"), ps))
         rows = rows.withColumn("_p", F.explode(post)).withColumn("deinflected", F.col("_p.v")).withColumn("text_chain", F.concat("text_chain", "_p.c")).drop("_p")
     return rows.where("deinflected <> ''")
@@ -271,27 +270,48 @@ def _folded(text):
     return F.translate(F.replace(F.lower(textproc.to_hiragana(text)), F.lit("ß"), F.lit("ss")), "ё", "е")
 
 
+#: The characters that rules take away and those they leave.
+TAKEN, LEFT = ("".join(sorted({c for r in deinflect.RULES for c in r[i]})) for i in (2, 3))
+
+
+def within(text, longest, letters):
+    """The text up to what can become a key of `longest` characters, or null for no bound.
+
+    Chains of rules have any length, but what they take away are characters of TAKEN: a text that becomes a key begins with at
+    most `longest` others. Cuts are at the end of a run of those, and of a word where texts are cut by words, so that none begins a
+    candidate that the text does not have.
+    """
+    taken = "".join(sorted({*TAKEN, *TAKEN.upper(), *TAKEN.translate(str.maketrans(textproc._HIRAGANA, textproc._KATAKANA)), *"ßẞёЁ"}))
+    after = F.substring(text, longest + 1, F.length(text))
+    run = F.when(letters, F.regexp_extract(after, f"^[{taken}]*", 0)).otherwise(F.regexp_extract(after, r"^[\p{L}\p{N}]*", 0))
+    return F.concat(F.left(text, longest), run)
+
+
+def by_letters(lang, options: LookupOptions):
+    return F.coalesce(lang.isin(*textproc.UNSPACED), F.lit(False)) | F.lit(options.search_resolution == "letter")
+
+
 def heads(keys: DataFrame, deinflect_too: bool) -> DataFrame:
-    """(head, reach): the first two folded characters of what can be looked up, one where it has one, and its greatest length.
+    """(head, reach): the first two folded characters of what can be looked up, one where it has one, and the greatest length of such a key.
 
-    With de-inflection a key is reached by texts that are longer by a suffix; keys of which rules leave less than two
-    characters give the heads of their inflected forms as well.
+    With de-inflection a key is reached by texts that keep less than two of its characters as well, if the others are such as rules
+    leave: their heads go on with characters that rules take away.
     """
-    slack = max(len(c[2]) for c in deinflect.chained()) if deinflect_too else 0
     folded = keys.select("key", _folded(F.col("key")).alias("f"))
-    out = folded.select(F.left("f", F.lit(2)).alias("head"), (F.greatest(F.length("f"), F.length("key")) + slack).alias("reach"))
+    longest = F.greatest(F.length("f"), F.length("key")).alias("reach")
+    out = folded.select(F.left("f", F.lit(2)).alias("head"), longest)
     if deinflect_too:
-        chains = deinflect.rule_table(keys.sparkSession).where("suffix_in <> ''").select("suffix_in", "suffix_out").distinct()
-        short = keys.where(F.length("key") <= 1 + max(len(c[3]) for c in deinflect.chained()))
-        stem = F.left("key", F.length("key") - F.length("suffix_out"))
-        formed = short.join(chains, (F.length("key") - F.length("suffix_out")).between(0, 1) & F.endswith("key", "suffix_out"))
-        text = F.concat(stem, "suffix_in")
-        out = out.unionByName(formed.select(F.left(_folded(text), F.lit(2)).alias("head"), (F.length(_folded(text)) + slack).alias("reach")))
+        taken = F.array(*(F.lit(c) for c in TAKEN))
+        first = folded.where(F.col("key").rlike(f"(?s)^.[{LEFT}]*$")).select(F.left("f", F.lit(1)).alias("_c"), longest)
+        none = folded.where(F.col("key").rlike(f"^[{LEFT}]*$")).select(F.explode(taken).alias("_c"), longest)
+        for begun in (first, none):
+            begun = begun.groupBy("_c").agg(F.max("reach").alias("reach"))
+            out = out.unionByName(begun.select(F.explode(F.concat(F.array("_c"), F.transform(taken, lambda t: F.left(_folded(F.concat("_c", t)), F.lit(2))))).alias("head"), "reach"))
     return out.groupBy("head").agg(F.max("reach").alias("reach"))
 
 
 def reachable(starts: DataFrame, keys: DataFrame, options: LookupOptions) -> DataFrame:
-    """The starts (with rest) at which a key can begin, rest cut to what the longest such key reaches.
+    """The starts (with rest) at which a key can begin, rest cut to what the longest such key reaches (see `within`).
 
     The heads are a table of pairs of characters, far smaller than the lexicon; two joins, no shuffle of the starts while it
     can be broadcast. Text replacements can make anything of a text, so with them nothing is left out.
@@ -304,7 +324,7 @@ def reachable(starts: DataFrame, keys: DataFrame, options: LookupOptions) -> Dat
     one = table.where(F.length("head") == 1).select(F.col("head").alias("_one"), F.col("reach").alias("_reach1"))
     joined = starts.join(two, F.left(folded, F.lit(2)) == F.col("_two"), "left").join(one, F.left(folded, F.lit(1)) == F.col("_one"), "left")
     reach = F.greatest("_reach2", "_reach1")
-    return joined.where(reach.isNotNull()).withColumn("rest", F.left("rest", reach)).select(*starts.columns)
+    return joined.where(reach.isNotNull()).withColumn("rest", within(F.col("rest"), reach, by_letters(F.col("lang"), options))).select(*starts.columns)
 
 
 def spread(texts: DataFrame) -> DataFrame:
