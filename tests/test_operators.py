@@ -372,3 +372,14 @@ def test_chains_of_any_length(spark):
     queries = spark.createDataFrame([(1, "catsss", "en")], "query_id int, text string, lang string")
     assert "cat" in {r.term for r in pipeline.find_terms(queries, small_lexicon(spark), "simple").collect()}
     assert {r.original for r in pipeline.search_keys(spark.createDataFrame([(1, "a catssssssssssssss b", "en")], "query_id int, text string, lang string"), small_lexicon(spark)).collect()} == {"catssssssssssssss"}
+
+
+def test_keys_of_any_length(spark):
+    long, joined = "the early bird that catches the worm is never the last to leave", "あ" * 60
+    small = small_lexicon(spark)
+    more = small.terms.where("id IN ('1', '6')").withColumns({"expression": F.when(F.col("id") == "1", long).otherwise(joined), "reading": F.lit(None).cast("string"), "id": F.concat(F.lit("l"), "id")})
+    lexicon = pipeline.Lexicon(small.terms.unionByName(more), small.metas, small.tags, small.options)
+    texts = spark.createDataFrame([(1, f"so {long}s, he said", "en"), (2, f"え{joined}え", "ja"), (3, long, "en"), (4, f"{long} home", "en")], "query_id int, text string, lang string")
+    assert {(r.query_id, r.original) for r in pipeline.search_keys(texts, lexicon).collect()} >= {(1, f"{long}s"), (2, joined), (3, long), (4, long)}
+    found = pipeline.find_terms(texts.where("query_id > 2"), lexicon, "simple").collect()
+    assert {(r.query_id, r.term) for r in found} >= {(3, long), (4, long)}

@@ -49,7 +49,7 @@ def word_starts(text: Column) -> Column:
     return bound(characters(text), lambda c: _starts(c, F.lit(False)))
 
 
-def suffixes(df: DataFrame, text: str, lang: str, per: Sequence[str], longest: int) -> DataFrame:
+def suffixes(df: DataFrame, text: str, lang: str, per: Sequence[str], longest: int | Column) -> DataFrame:
     """(per, start, rest): up to `longest` characters from each start position, by the language's way of writing.
 
     Null and blank texts of spaced languages give no row. The characters are an array, read by index: a text of n
@@ -57,9 +57,9 @@ def suffixes(df: DataFrame, text: str, lang: str, per: Sequence[str], longest: i
     """
 
     def rests(c: Column) -> Column:
-        return F.transform(_starts(c["c"], c["u"]), lambda p: F.struct(p.alias("start"), F.array_join(F.slice(c["c"], p, F.lit(longest)), "").alias("rest")))
+        return F.transform(_starts(c["c"], c["u"]), lambda p: F.struct(p.alias("start"), F.array_join(F.slice(c["c"], p, c["n"]), "").alias("rest")))
 
-    value = F.struct(characters(F.col(text)).alias("c"), is_unspaced(lang).alias("u"))
+    value = F.struct(characters(F.col(text)).alias("c"), is_unspaced(lang).alias("u"), (longest if isinstance(longest, Column) else F.lit(longest)).cast("int").alias("n"))
     return df.where(F.col(text).isNotNull()).select(*per, F.inline(bound(value, rests)))
 
 

@@ -17,8 +17,6 @@ from wortlake.options import LookupOptions
 from wortlake.sources.store import last_written
 from wortlake.sources.tables import table
 
-#: Characters of a query that are looked at: no key of the lexicon is longer, nor are the suffixes rules take away.
-LONGEST = 40
 LANGUAGES = sorted({*textproc.PREPROCESSORS, *(r[1] for r in deinflect.RULES)} - {""})
 
 
@@ -41,20 +39,19 @@ class Lexicon:
         return lookup.enabled_map(self.options)
 
 
-def candidates(queries: DataFrame, options: LookupOptions, *, longest: int = LONGEST) -> DataFrame:
+def candidates(queries: DataFrame, options: LookupOptions, *, longest: int | None = None) -> DataFrame:
     """(query_id, lang, original, transformed, deinflected, conditions, rules, text_chain, source), distinct per query.
 
-    Substrings by the language's way of writing (or options.search_resolution letter), cut to `longest`; then
+    Substrings by the language's way of writing (or options.search_resolution letter), of what can become a key of `longest` characters (null:
+    of the whole text); then
     replacements and processors, then de-inflection, then processors after it.
     """
     texts = queries.select("query_id", textproc.base_language("lang").alias("lang"), F.col("text"))
     if options.remove_non_japanese:
         texts = texts.withColumn("text", F.when(F.col("lang").isin("ja", "zh", "yue"), substrings.cjk_prefix("text")).otherwise(F.col("text")))
-    capped = F.left("text", F.lit(longest))
-    letters = F.coalesce(F.col("lang").isin(*textproc.UNSPACED), F.lit(False)) | F.lit(options.search_resolution == "letter")
-    # A text cut inside a word would start with a piece of that word, so the cut goes back to a border.
-    words = F.when(F.length("text") > longest, F.regexp_replace(capped, r"[\p{L}\p{N}]*\z", "")).otherwise(capped)
-    pieces = F.when(letters, substrings.letter_substrings(capped)).otherwise(substrings.word_substrings(F.when(words == "", capped).otherwise(words)))
+    letters = by_letters(F.col("lang"), options)
+    reach = F.col("text") if longest is None else within(F.col("text"), F.lit(longest), letters)
+    pieces = F.when(letters, substrings.letter_substrings(reach)).otherwise(substrings.word_substrings(reach))
     rows = texts.where("text <> ''").select("query_id", "lang", F.explode(pieces).alias("original"))
     empty = F.array().cast("array<string>")
     rows = rows.withColumn("transformed", F.explode(_variants(F.col("original"), F.col("lang"), options))).select("*", F.col("transformed.v").alias("_v"), F.col("transformed.c").alias("text_chain"))
@@ -227,7 +224,8 @@ def find_terms(queries: DataFrame, lexicon: Lexicon, mode: str = "group", option
     if mode == "merge":
         lexicon, options = with_hidden_main(lexicon, options)
     per = ["query_id"]
-    found = as_entries(matches(candidates(queries, options), index(lexicon)), options.primary_reading)
+    keyed, written = index(lexicon), lexicon.terms.select(F.explode(F.array("expression", "reading")).alias("key"))
+    found = as_entries(matches(candidates(queries, options, longest=longest_key(written, options)), keyed), options.primary_reading)
     # Of all matches of a query, before anything is left out.
     found = found.withColumn("matched_length", F.max("longest_original").over(Window.partitionBy(*per))).select(*ENTRY, "matched_length")
     by = {"group": ["expression", "norm_reading", "infl_key"], "merge": ["merge_key"]}.get(mode, ["id"])
@@ -275,7 +273,7 @@ TAKEN, LEFT = ("".join(sorted({c for r in deinflect.RULES for c in r[i]})) for i
 
 
 def within(text, longest, letters):
-    """The text up to what can become a key of `longest` characters, or null for no bound.
+    """The text up to what can become a key of `longest` characters.
 
     Chains of rules have any length, but what they take away are characters of TAKEN: a text that becomes a key begins with at
     most `longest` others. Cuts are at the end of a run of those, and of a word where texts are cut by words, so that none begins a
@@ -287,6 +285,16 @@ def within(text, longest, letters):
     return F.concat(F.left(text, longest), run)
 
 
+def longest_key(keys: DataFrame, options: LookupOptions) -> int | None:
+    """The length of the longest key (column key), plain or folded; None with text replacements, which can make anything of a text."""
+    return None if options.text_replacements else keys.agg(F.max(F.greatest(F.length("key"), F.length(_folded(F.col("key")))))).first()[0] or 0
+
+
+def _run(text):
+    """The longest run of letters and digits in a text, beyond which `within` does not go on."""
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.length)), F.lit(0))
+
+
 def by_letters(lang, options: LookupOptions):
     return F.coalesce(lang.isin(*textproc.UNSPACED), F.lit(False)) | F.lit(options.search_resolution == "letter")
 
@@ -338,7 +346,7 @@ def spread(texts: DataFrame) -> DataFrame:
     return texts.repartition(cores * 4, "query_id") if estimate < cores * (64 << 20) else texts
 
 
-def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions(), *, longest: int = LONGEST) -> DataFrame:
+def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> DataFrame:
     """(query_id, original): the source texts in each text that have entries, from every start position."""
     names = lexicon.enabled.select(F.col("name").alias("dictionary"), "parts_of_speech_filter")
     content = F.exists("glossary", lambda g: g["kind"].isin("Content", "Deinflection"))
@@ -346,7 +354,10 @@ def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = Loo
     flags = deinflect.rule_flags(packed.unpack("rules"))
     # Of the lexicon only its keys are needed, with the flags they have: far fewer rows than terms.
     keys = terms.select(F.explode(F.array("expression", "reading")).alias("key"), flags.alias("flags"), "parts_of_speech_filter").where("key <> ''").distinct()
-    starts = substrings.suffixes(spread(texts), "text", "lang", ["query_id", "lang"], longest)
+    longest = longest_key(keys, options)
+    # The run after the longest key is cut per start; a text's longest one bounds what is read for it.
+    width = F.length("text") if longest is None else F.lit(longest) + 1 + _run(F.col("text"))
+    starts = substrings.suffixes(spread(texts), "text", "lang", ["query_id", "lang"], width)
     starts = reachable(starts, keys.select("key").distinct(), options)
     queries = starts.select(F.struct("query_id", "start").alias("query_id"), "lang", F.col("rest").alias("text"))
     found = candidates(queries, options, longest=longest).select(F.col("query_id.query_id").alias("query_id"), "original", "deinflected", "conditions")
