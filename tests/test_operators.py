@@ -383,3 +383,10 @@ def test_keys_of_any_length(spark):
     assert {(r.query_id, r.original) for r in pipeline.search_keys(texts, lexicon).collect()} >= {(1, f"{long}s"), (2, joined), (3, long), (4, long)}
     found = pipeline.find_terms(texts.where("query_id > 2"), lexicon, "simple").collect()
     assert {(r.query_id, r.term) for r in found} >= {(3, long), (4, long)}
+
+
+def test_other_match_types_are_refused(spark):
+    queries = spark.createDataFrame([(1, "cat", "en")], "query_id int, text string, lang string")
+    for kind in ("prefix", "suffix"):
+        with pytest.raises(EngineError):
+            pipeline.find_terms(queries, small_lexicon(spark), "group", LookupOptions(match_type=kind))

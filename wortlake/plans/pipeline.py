@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wortlake.functions import textproc
 from wortlake.operators import deinflect, entries, filters, lookup, meta, modes, packed, rank, segment, substrings
-from wortlake.options import LookupOptions
+from wortlake.options import EngineError, LookupOptions
 from wortlake.sources.store import last_written
 from wortlake.sources.tables import table
 
@@ -46,6 +46,8 @@ def candidates(queries: DataFrame, options: LookupOptions, *, longest: int | Non
     of the whole text); then
     replacements and processors, then de-inflection, then processors after it.
     """
+    if options.match_type != "exact":
+        raise EngineError(f"the pipeline looks up whole keys only, not by {options.match_type}: see lookup.prefix_lookup")
     texts = queries.select("query_id", textproc.base_language("lang").alias("lang"), F.col("text"))
     if options.remove_non_japanese:
         texts = texts.withColumn("text", F.when(F.col("lang").isin("ja", "zh", "yue"), substrings.cjk_prefix("text")).otherwise(F.col("text")))
