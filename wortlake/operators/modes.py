@@ -1,158 +1,147 @@
-"""Grouping modes (simple, group, merge, split), the aggregates of grouped entries, definitions, headwords and tags."""
+"""Grouping modes (simple, group, merge, split): entries to groups, with their headwords and definitions as rows of their own, and tags."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wortlake.functions import textproc
+
 MODES = ("simple", "group", "merge", "split")
+#: The order of entries within a group: the longest source first, then by id.
+ORDER = ("entry_ord", "id")
 
 
-def group_entries(entries: DataFrame, by: Sequence[str], order: Sequence[str] = ("entry_ord", "id"), *, dedup: bool = False) -> DataFrame:
-    """Entries grouped by the given columns: the aggregate of each group, its headwords and definitions.
+@dataclass(frozen=True)
+class Groups:
+    """Grouped entries as tables that meet on entry_key: numbers, headwords (headword_index from 0), definitions (index from 0), term tags of headwords.
 
-    score is the greatest, dictionary_index the least, alias that of the last entry in order, is_primary whether any
-    is; max_length, inflections and text_chains are the greatest and the shortest of the primary entries.
-    Headwords are merged by term and normalised reading, the first index wins. With dedup, definitions of one
-    dictionary and glossary are merged (see `dedup_units`), as a shuffled aggregate of their own before anything is
-    nested. A group holds the entries of one headword or sequence of one query: what an entry is.
+    Nothing is nested, so a group with a third of all rows is never one row or one task's list: its numbers are combined map-side, and its
+    definitions are numbered by a window, which sorts on disk. `nested` makes whole entries of them.
     """
-    rows = _units(entries, order)
-    if dedup:
-        rows = dedup_units(rows, by)
-    first = rows.groupBy(*by).agg(
-        F.max("score").alias("score"),
-        F.min("dictionary_index").alias("dictionary_index"),
-        F.max_by("alias", "_last").alias("alias"),
-        F.bool_or("is_primary").alias("is_primary"),
-        F.coalesce(F.max("max_length"), F.lit(0)).alias("max_length"),
-        F.min_by("inflections", "_ik").alias("inflections"),
-        F.min_by("text_chains", "_tk").alias("text_chains"),
-        F.bool_or("match_primary_reading").alias("match_primary_reading"),
-        F.min("_o").alias("group_ord"),
-        # The primary source: the source text of the first primary entry.
-        F.min_by("original", F.when(F.col("is_primary"), F.col("_o"))).alias("original"),
-        F.sort_array(F.collect_list(F.struct("_o", "_heads", "_def"))).alias("_rows"),
-        *_matched(rows),
-    )
-    # One array holds the built entry, so that later steps refer to its fields and do not build it again.
-    built = F.element_at(F.transform(F.array(F.struct("_rows", _heads().alias("heads"))), _assembled), 1)
-    return first.withColumn("_built", built).select("*", "_built.*").drop("_rows", "_built")
-
-
-def _matched(rows: DataFrame) -> list[Column]:
-    return [F.max("matched_length").alias("matched_length")] if "matched_length" in rows.columns else []
-
 
-def _heads() -> Column:
-    return F.flatten(F.transform("_rows", lambda r: r["_heads"]))
+    entries: DataFrame
+    headwords: DataFrame
+    definitions: DataFrame
+    term_tags: DataFrame
 
+    def nested(self) -> DataFrame:
+        """The entries with arrays headwords and definitions, for groups whose definitions fit a row."""
+        heads = nest(self.headwords, "headwords", "headword_index", ("term", "reading", "primary_term", "sources"))
+        defs = nest(self.definitions, "definitions", "index", DEFINITION)
+        return self.entries.join(heads, "entry_key").join(defs, "entry_key")
 
-def _assembled(group: Column) -> Column:
-    """STRUCT(headwords, definitions, exact_count) of a group's sorted rows and their headwords."""
 
-    def with_keys(bound: Column) -> Column:
-        keys, heads, rows = bound["keys"], bound["heads"], bound["rows"]
-        headwords = F.transform(keys, lambda k: _headword(F.filter(heads, lambda h: h["key"] == k)))
-        definitions = F.transform(rows, lambda r, i: _definition(r["_def"], r["_heads"], keys, i))
-        return F.struct(headwords.alias("headwords"), definitions.alias("definitions"))
+DEFINITION = ("id", "dictionary", "dictionary_index", "score", "is_primary", "glossary", "definition_tags", "sequences", "headword_indices")
 
-    keys = F.array_distinct(F.transform(group["heads"], lambda h: h["key"]))
-    bound = F.array(F.struct(keys.alias("keys"), group["heads"].alias("heads"), group["_rows"].alias("rows")))
-    counted = F.transform(F.transform(bound, with_keys), lambda e: F.struct(e["headwords"].alias("headwords"), e["definitions"].alias("definitions"), F.size(F.filter(e["headwords"], lambda h: h["primary_term"])).alias("exact_count")))
-    return F.element_at(counted, 1)
 
+def nest(rows: DataFrame, name: str, order: str, fields: Sequence[str]) -> DataFrame:
+    """(entry_key, name): the rows of each entry as an array of structs in order."""
+    items = F.sort_array(F.collect_list(F.struct(order, F.struct(order, *fields).alias("_v"))))
+    return rows.groupBy("entry_key").agg(F.transform(items, lambda x: x["_v"]).alias(name))
 
-def _units(entries: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Entries with what their group needs: the order, the keys of the shortest chains, one headword and one definition."""
-    primary, at = F.col("is_primary"), F.struct(*order)
-    head = F.struct(F.to_json(F.struct("expression", "norm_reading")).alias("key"), F.col("expression").alias("term"), "reading", "match_source", "is_primary", _tag_names(entries).alias("tag_names"))
-    definition = F.struct("id", "dictionary", "dictionary_index", "score", F.array("sequence").alias("sequences"), "is_primary", "glossary", "definition_tags")
-    return entries.withColumns(
-        {
-            "_o": at,
-            "_last": at,
-            "_ik": F.when(primary, F.struct(F.size("inflections"), at)),
-            "_tk": F.when(primary, F.struct(F.size("text_chains"), at)),
-            "max_length": F.when(primary, F.col("max_length")),
-            "_heads": F.array(head),
-            "_def": definition,
-        }
-    )
 
+def with_key(entries: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds entry_key, one string for the columns a group has in common (nulls are equal)."""
+    return entries.withColumn("entry_key", F.to_json(F.struct(*by)))
 
-def _tag_names(entries: DataFrame) -> Column:
-    """The term tags of an entry with its dictionary, for the headword it belongs to."""
-    names = F.coalesce("term_tags", F.array().cast("array<string>")) if "term_tags" in entries.columns else F.array().cast("array<string>")
-    return F.transform(names, lambda n: F.struct(F.col("dictionary").alias("dictionary"), n.alias("name")))
 
+def group_entries(entries: DataFrame, per: Sequence[str], *, several: bool = False, dedup: Column | None = None) -> Groups:
+    """Entries grouped by entry_key.
 
-def dedup_units(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Definitions with one dictionary and glossary merged: primary if any is, sequences, headwords and tags united."""
-    same = rows.withColumn("_g", F.to_json("_def.glossary")).groupBy(*by, "dictionary", "_g")
-    return same.agg(
-        *(F.max(c).alias(c) for c in ("score", "max_length", "_last")),
-        F.max_by("alias", "_last").alias("alias"),
+    score is the greatest, dictionary_index the least, alias that of the last entry in order, is_primary whether any
+    is; max_length, inflections and text_chains are the greatest and the shortest of the primary entries.
+    several: whether a group can have several headwords (merge mode); they are merged by term and normalised reading, the first index
+    wins. dedup: a condition for entries of whose groups definitions of one dictionary and glossary are merged: primary if any is, sequences, headwords and
+    tags united.
+    """
+    rows = entries.withColumn("_at", F.struct(*ORDER))
+    primary = F.col("is_primary")
+    heads = rows.groupBy("entry_key", "expression", "norm_reading").agg(
+        F.min("_at").alias("_first"),
+        F.min_by("reading", "_at").alias("reading"),
+        F.bool_or(primary & (F.col("match_source") == "term")).alias("primary_term"),
+        F.sort_array(F.collect_set("match_source")).alias("sources"),
+    )
+    number = F.row_number().over(Window.partitionBy("entry_key").orderBy("_first", "expression", "norm_reading")) - 1 if several else F.lit(0)
+    heads = heads.withColumn("headword_index", number).drop("_first")
+    if several:
+        known = heads.select(F.col("entry_key").alias("_k"), F.col("expression").alias("_e"), F.col("norm_reading").alias("_n"), "headword_index")
+        placed = rows.join(known, (F.col("entry_key") == F.col("_k")) & F.col("expression").eqNullSafe(F.col("_e")) & F.col("norm_reading").eqNullSafe(F.col("_n"))).drop("_k", "_e", "_n")
+    else:
+        placed = rows.withColumn("headword_index", F.lit(0))
+    definitions = placed.select(*per, "entry_key", "id", "dictionary", "dictionary_index", "score", "is_primary", "glossary", "definition_tags", F.array("sequence").alias("sequences"), F.array("headword_index").alias("headword_indices"), "_at", *([dedup.alias("_merged")] if dedup is not None else []))
+    if dedup is not None:
+        definitions = _deduped(definitions, per)
+    definitions = definitions.withColumn("index", F.row_number().over(Window.partitionBy("entry_key").orderBy("_at")) - 1).drop("_at")
+    first = F.min_by(F.struct("expression", "reading", "id"), "_at")
+    numbers = rows.groupBy(*per, "entry_key").agg(
+        *(F.first(c).alias(c) for c in ("expression", "norm_reading") if not several),
+        first.alias("_f"),
+        F.max("score").alias("score"),
         F.min("dictionary_index").alias("dictionary_index"),
-        *(F.bool_or(c).alias(c) for c in ("is_primary", "match_primary_reading")),
-        F.min_by("inflections", "_ik").alias("inflections"),
-        F.min_by("text_chains", "_tk").alias("text_chains"),
-        *(F.min(c).alias(c) for c in ("_o", "_ik", "_tk")),
-        F.array_sort(F.flatten(F.collect_set("_heads"))).alias("_heads"),
-        F.min_by("_def", "_o").alias("_d"),
-        F.min_by("original", "_o").alias("original"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_def.sequences")))).alias("_s"),
-        F.array_distinct(F.flatten(F.collect_set("_def.definition_tags"))).alias("_t"),
-        *_matched(rows),
-    ).withColumn("_def", F.col("_d").withField("is_primary", F.col("is_primary")).withField("sequences", F.col("_s")).withField("definition_tags", F.col("_t")))
-
-
-def _headword(rows: Column) -> Column:
-    one = F.element_at(rows, 1)
-    return F.struct(
-        one["key"].alias("key"),
-        one["term"].alias("term"),
-        one["reading"].alias("reading"),
-        F.exists(rows, lambda h: h["is_primary"] & (h["match_source"] == "term")).alias("primary_term"),
-        F.array_distinct(F.transform(rows, lambda h: h["match_source"])).alias("sources"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform(rows, lambda h: h["tag_names"])))).alias("tag_names"),
+        F.max_by("alias", "_at").alias("alias"),
+        F.bool_or("is_primary").alias("is_primary"),
+        F.coalesce(F.max(F.when(primary, F.col("max_length"))), F.lit(0)).alias("max_length"),
+        F.min_by("inflections", F.when(primary, F.struct(F.size("inflections"), "_at"))).alias("inflections"),
+        F.min_by("text_chains", F.when(primary, F.struct(F.size("text_chains"), "_at"))).alias("text_chains"),
+        F.bool_or("match_primary_reading").alias("match_primary_reading"),
+        # The primary source: the source text of the first primary entry.
+        F.min_by("original", F.when(primary, F.col("_at"))).alias("original"),
+        *([F.max("matched_length").alias("matched_length")] if "matched_length" in rows.columns else []),
+        *([] if several else [F.max((primary & (F.col("match_source") == "term")).cast("int")).alias("exact_count"), F.lit(1).alias("n_headwords")]),
+        *([] if dedup is not None else [F.count("*").alias("n_definitions")]),
     )
-
-
-def _definition(d: Column, heads: Column, keys: Column, index: Column) -> Column:
-    positions = F.array_sort(F.array_distinct(F.transform(heads, lambda h: F.array_position(keys, h["key"]).cast("int") - 1)))
-    fields = ("id", "dictionary", "dictionary_index", "score", "is_primary", "glossary", "definition_tags", "sequences")
-    return F.struct(index.alias("index"), *(d[f].alias(f) for f in fields), positions.alias("headword_indices"))
+    numbers = numbers.select("*", F.col("_f.expression").alias("term"), F.col("_f.reading").alias("reading"), F.col("_f.id").alias("entry_id")).drop("_f")
+    if several:
+        numbers = numbers.join(heads.groupBy("entry_key").agg(F.count_if("primary_term").cast("int").alias("exact_count"), F.count("*").cast("int").alias("n_headwords")), "entry_key")
+    if dedup is not None:
+        numbers = numbers.join(definitions.groupBy("entry_key").agg(F.count("*").alias("n_definitions")), "entry_key")
+    tags = placed.select("entry_key", "headword_index", "dictionary", F.explode("term_tags").alias("tag_name")).distinct()
+    return Groups(numbers, heads.select("entry_key", "headword_index", F.col("expression").alias("term"), "norm_reading", "reading", "primary_term", "sources"), definitions, tags)
+
+
+def _deduped(rows: DataFrame, per: Sequence[str]) -> DataFrame:
+    """Definitions with one dictionary and glossary merged where _merged holds; the others stay apart by their id."""
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    apart = F.when(~F.col("_merged"), F.col("id")).alias("_apart")
+    merged = rows.groupBy(*per, "entry_key", "dictionary", "glossary", apart).agg(
+        F.min_by(F.struct("id", "dictionary_index"), "_at").alias("_d"), F.max("score").alias("score"), F.bool_or("is_primary").alias("is_primary"), united("sequences"), united("headword_indices"), united("definition_tags"), F.min("_at").alias("_at")
+    )
+    return merged.select(*per, "entry_key", "_d.id", "dictionary", "_d.dictionary_index", "score", "is_primary", "glossary", "definition_tags", "sequences", "headword_indices", "_at")
 
 
 def by_headword(entries: DataFrame, per: Sequence[str]) -> DataFrame:
-    """Group mode: entries of one term, normalised reading and inflection chains; different chains stay apart."""
-    return group_entries(entries.withColumn("infl_key", F.to_json("inflections")), [*per, "expression", "norm_reading", "infl_key"])
+    """Group mode's entry_key: entries of one term, normalised reading and inflection chains; different chains stay apart."""
+    return with_key(entries, [*per, "expression", "norm_reading", "inflections"])
 
 
 def by_sequence(entries: DataFrame, lexicon: DataFrame, per: Sequence[str], main: str, secondary: DataFrame | None = None) -> DataFrame:
-    """Merge mode: (group columns and entries) the rows of each merged entry, with `merge_key`.
+    """Merge mode: the rows of each merged entry, with `merge_key`.
 
     Entries of the main dictionary with a sequence make groups by it. Each group gets the related rows of that sequence
     and dictionary that it does not hold (not primary), then the ungrouped entries with one of its headwords, then the
-    rows of secondary dictionaries with one of its headwords. The other entries are grouped by headword.
+    rows of secondary dictionaries with one of its headwords. The other entries are grouped by headword. The rows of entries and lexicon need
+    no glossary.
     """
     related_key = F.concat(F.lit("seq:"), F.col("sequence").cast("string"))
-    main_rows = entries.where((F.col("dictionary") == main) & (F.col("sequence") >= 0)).withColumn("merge_key", related_key)
-    groups = main_rows.select(*per, "merge_key", "sequence").distinct()
+    in_main = (F.col("dictionary") == main) & (F.col("sequence") >= 0)
+    main_rows = entries.where(in_main).withColumn("merge_key", related_key)
+    groups = main_rows.select(*per, "lang", "merge_key", "sequence").distinct()
     columns = main_rows.columns
     related = _as_secondary(lexicon.where(F.col("dictionary") == main).join(groups, "sequence"), columns)
     together = main_rows.unionByName(_absent(related, main_rows, [*per, "merge_key", "id"]))
-    ungrouped = entries.where(~((F.col("dictionary") == main) & (F.col("sequence") >= 0)))
+    ungrouped = entries.where(~F.coalesce(in_main, F.lit(False)))
     ungrouped = _absent(ungrouped, together, [*per, "id"])
     heads = together.select(*per, "merge_key", "expression", "norm_reading").distinct()
     absorbed = ungrouped.join(heads, [*per, "expression", "norm_reading"]).select(*columns)
     left = _absent(ungrouped, absorbed, [*per, "id"]).withColumn("merge_key", F.concat(F.lit("head:"), F.to_json(F.struct("expression", "norm_reading", "inflections"))))
     merged = together.unionByName(absorbed)
     if secondary is not None:
-        pairs = merged.select(*per, "merge_key", "expression", "reading").distinct()
+        pairs = merged.select(*per, "lang", "merge_key", "expression", "reading").distinct()
         more = lexicon.join(secondary.select(F.col("name").alias("_second")), F.col("dictionary") == F.col("_second"), "left_semi")
         found = _as_secondary(more.join(pairs, ["expression", "reading"]), columns)
         merged = merged.unionByName(_absent(found, merged, [*per, "merge_key", "id"]))
@@ -165,7 +154,11 @@ def _absent(rows: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFra
 
 def _as_secondary(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of the lexicon as entries that are not primary."""
+    reading = F.coalesce(F.nullif("reading", F.lit("")), F.col("expression"))
     given = {
+        "reading": reading,
+        "norm_reading": textproc.normalize_reading(reading, F.col("lang")),
+        "sequence": F.when(F.col("sequence") >= 0, F.col("sequence")).otherwise(F.lit(-1)),
         "is_primary": F.lit(False),
         "match_source": F.lit("term"),
         "match_type": F.lit("exact"),
@@ -173,6 +166,7 @@ def _as_secondary(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         "original": F.col("expression"),
         "deinflected": F.col("expression"),
         "max_length": F.lit(0),
+        "longest_original": F.lit(0),
         "exact_count": F.lit(0),
         "key": F.col("expression"),
         "key_ord": F.lit(0),

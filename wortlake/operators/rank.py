@@ -49,20 +49,11 @@ def sort_headwords(headwords: Column) -> Column:
     return F.array_sort(headwords, compare)
 
 
-def sort_definitions(definitions: Column, *, by_frequency: bool = False) -> Column:
-    """Definition structs by frequency_order (if by_frequency), dictionary index, score (descending), number of headword indices (descending), those indices, index."""
-    key = lambda d: F.struct(
-        (d["frequency_order"] if by_frequency else F.lit(0)).alias("o"), d["dictionary_index"].alias("a"), (-d["score"]).alias("b"), (-F.size(d["headword_indices"])).alias("c"), d["headword_indices"].alias("d"), d["index"].alias("e"), d.alias("v")
-    )
-    # The definition itself is behind a unique index and never compared.
-    return F.transform(F.array_sort(F.transform(definitions, key), lambda x, y: _by(x, y, "oabcde")), lambda x: x["v"])
-
-
-def _by(x: Column, y: Column, fields: str) -> Column:
-    out = F.lit(0)
-    for f in reversed(fields):
-        out = F.when(x[f] < y[f], -1).when(x[f] > y[f], 1).otherwise(out)
-    return out
+def number_definitions(definitions: DataFrame, per: Sequence[str]) -> DataFrame:
+    """Adds pos from 1: definitions by frequency_order, dictionary index, score (descending), number of headword indices (descending), those indices, index."""
+    keys = ["frequency_order"] if "frequency_order" in definitions.columns else []
+    order = Window.partitionBy(*per).orderBy(*keys, "dictionary_index", F.desc("score"), F.desc(F.size("headword_indices")), "headword_indices", "index")
+    return definitions.withColumn("pos", F.row_number().over(order))
 
 
 def meta_order(metas: DataFrame, per: Sequence[str]) -> DataFrame:

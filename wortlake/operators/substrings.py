@@ -69,23 +69,23 @@ def letter_substrings(text: Column, longest: int | None = None) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(top, F.lit(1), F.lit(-1)), lambda n: F.left(text, n))).otherwise(F.array().cast("array<string>"))
 
 
-#: Where the last word of a text begins, with the character before it that is no letter.
-LAST_WORD = r"[^\p{L}][\p{L}\p{N}]*\z"
+# Fixed value: where a text can be cut, at a character that is neither letter nor digit, with the word after it; the first character never starts one.
+_TOKEN = r"(?s)(?:^.|[^\p{L}\p{N}])[\p{L}\p{N}]*"
 
 
 def word_substrings(text: Column) -> Column:
-    """The text, then cut before its last word again and again, while it has one."""
-    # Every cut is at a character that is no letter, with only letters and digits up to the next cut or the end.
-    size = F.length(F.regexp_replace(text, r"[\p{L}]", ""))
-    cut = F.aggregate(
-        F.sequence(F.lit(0), size),
-        F.array(text),
-        lambda acc, _: F.when(
-            F.element_at(acc, -1).rlike(LAST_WORD) & (F.regexp_replace(F.element_at(acc, -1), LAST_WORD, "") != ""),
-            F.concat(acc, F.array(F.regexp_replace(F.element_at(acc, -1), LAST_WORD, ""))),
-        ).otherwise(acc),
-    )
-    return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
+    """The text, then cut before its last word again and again, while it has one.
+
+    A word goes from a character that is no letter over letters and digits to the end. So the cuts are before the characters that are
+    neither, and in a first word of letters before its first digit.
+    """
+
+    def prefixes(tokens: Column) -> Column:
+        cut = F.transform(F.sequence(F.size(tokens), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(tokens, 1, n), ""))
+        letters = F.regexp_extract(F.element_at(tokens, 1), r"^\p{L}+(?=\p{N})", 0)
+        return F.when(letters != "", F.concat(cut, F.array(letters))).otherwise(cut)
+
+    return F.when(F.length(text) > 0, bound(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), prefixes)).otherwise(F.array().cast("array<string>"))
 
 
 def cjk_prefix(text: Column | str) -> Column:

@@ -9,7 +9,7 @@ from wortlake.functions import textproc
 from wortlake.operators import deinflect, entries, filters, lookup, meta, modes, notes, packed, rank, segment
 from wortlake.plans import pipeline
 from wortlake.plans.general import _values_sql
-from wortlake.plans.lookups import DEINFLECTED, EN, LEX, anchors, deinflected_words, enabled, lexicon
+from wortlake.plans.lookups import DEINFLECTED, EN, LEX, deinflected_words, enabled, lexicon
 from wortlake.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -36,32 +36,36 @@ ENTRIES = f"""{LEXE}, e AS (SELECT DISTINCT h.headword_id AS query_id, h.headwor
   FROM headwords h JOIN lexe l ON l.expression = h.headword OR l.raw_reading = h.headword)"""
 
 
-def known(spark: SparkSession, root: str) -> DataFrame:
-    """The last written rows of enabled dictionaries with content, tags unpacked and readings normalised."""
-    options = enabled(spark, root).select(F.col("name").alias("dictionary"), "alias", "dictionary_index")
-    terms = deinflect.only_content(lexicon(spark, root).join(options, "dictionary"))
-    reading = F.coalesce(F.nullif("reading", F.lit("")), F.col("expression"))
-    return terms.withColumns({"alias": F.coalesce(F.nullif("alias", F.lit("")), F.col("dictionary")), "score": F.coalesce("score", F.lit(0)), "definition_tags": packed.unpack("definition_tags"), "term_tags": packed.unpack("term_tags"), "norm_reading": textproc.to_hiragana(reading)})
-
-
-def exact_entries(spark: SparkSession, root: str) -> DataFrame:
-    """Every headword as a query of its own, without de-inflection: the entries of its exact matches."""
+def exact_entries(spark: SparkSession, root: str, *, wide: bool = True) -> DataFrame:
+    """Every headword as a query of its own, without de-inflection: the entries of its exact matches among live rows with content; readings are normalised as in ja."""
+    lexicon = pipeline.Lexicon.of(spark, root)
     keys = table(spark, root, "headwords").select(F.col("headword_id").alias("query_id"), F.col("headword").alias("key"), F.lit(0).alias("key_ord"))
-    hits = lookup.bulk_lookup(known(spark, root), keys, per=["query_id"])
+    hits = lookup.bulk_lookup(lexicon.with_options().where("has_content"), keys, per=["query_id"])
     empty = F.array().cast("array<string>")
-    return entries.build(hits.withColumns({"original": F.col("key"), "deinflected": F.col("key")})).withColumns(
+    reading = F.coalesce(F.nullif("reading", F.lit("")), F.col("expression"))
+    hits = hits.withColumns({"original": F.col("key"), "deinflected": F.col("key"), "alias": F.coalesce(F.nullif("alias", F.lit("")), F.col("dictionary")), "norm_reading": textproc.to_hiragana(reading)})
+    built = entries.build(hits).withColumns(
         {
             "is_primary": F.lit(True),
             "match_primary_reading": F.lit(False),
             "inflections": F.array(F.struct(F.lit("algorithm").alias("source"), empty.alias("rules"))),
             "text_chains": F.array(empty),
             "entry_ord": -F.col("max_length"),
+            "longest_original": F.col("max_length"),
+            "lang": F.lit("ja"),
         }
-    ).withColumn("lang", F.lit(None).cast("string")).select(*pipeline.ENTRY)
+    ).select(*pipeline.ENTRY)
+    return lexicon.fetched(built) if wide else built
 
 
-def grouped(spark: SparkSession, root: str, *, dedup: bool = False) -> DataFrame:
-    return modes.group_entries(exact_entries(spark, root), ["query_id", "expression", "norm_reading"], dedup=dedup)
+def grouped(spark: SparkSession, root: str, *, dedup: bool = False) -> modes.Groups:
+    keyed = modes.with_key(exact_entries(spark, root), ["query_id", "expression", "norm_reading"])
+    return modes.group_entries(keyed, ["query_id"], dedup=F.lit(True) if dedup else None)
+
+
+def _definitions(groups: modes.Groups) -> DataFrame:
+    """The definitions with the headword of their group, where it has one."""
+    return groups.definitions.join(groups.headwords.select("entry_key", F.col("term").alias("expression"), "norm_reading"), "entry_key")
 
 
 def main_dictionary(spark: SparkSession, root: str) -> str:
@@ -77,7 +81,7 @@ def _(spark, root):
 
 @query(
     "k56_keep_longest",
-    f"""WITH {LEX}, {DEINFLECTED} SELECT lang, word, id, count(DISTINCT list_sort(list_filter(string_split(chain, '<'), lambda x: x <> ''))) AS n_inflections
+    f"""WITH RECURSIVE {LEX}, {DEINFLECTED} SELECT lang, word, id, count(DISTINCT list_sort(list_filter(string_split(chain, '<'), lambda x: x <> ''))) AS n_inflections
     FROM deinflected d JOIN lex ON expression = d.text GROUP BY ALL""",
 )
 def _(spark, root):
@@ -100,8 +104,8 @@ def _(spark, root):
 )
 def _(spark, root):
     # A null term is no headword of its own, so its matches are by reading and count none.
-    rows = grouped(spark, root)
-    return rows.select("query_id", "expression", "norm_reading", "score", "dictionary_index", "alias", "max_length", F.size("definitions").cast("bigint").alias("n_definitions"), "exact_count")
+    return grouped(spark, root).entries.select("query_id", "expression", "norm_reading", "score", "dictionary_index", "alias", "max_length", "n_definitions", "exact_count")
+
 
 
 _MERGED = f"""{ENTRIES}, main AS (SELECT {_MAIN} AS name),
@@ -121,7 +125,13 @@ _MERGED = f"""{ENTRIES}, main AS (SELECT {_MAIN} AS name),
 
 def merged(spark: SparkSession, root: str) -> DataFrame:
     second = lookup.secondary(enabled(spark, root))
-    return modes.by_sequence(pipeline.cut(exact_entries(spark, root)), known(spark, root), ["query_id"], main_dictionary(spark, root), second)
+    known = pipeline.Lexicon.of(spark, root).with_options().where("has_content").withColumn("alias", F.coalesce(F.nullif("alias", F.lit("")), F.col("dictionary")))
+    return modes.by_sequence(pipeline.cut(exact_entries(spark, root, wide=False)), known, ["query_id"], main_dictionary(spark, root), second)
+
+
+def merged_groups(spark: SparkSession, root: str) -> modes.Groups:
+    rows = pipeline.cut(pipeline.Lexicon.of(spark, root).fetched(merged(spark, root).where("merge_key LIKE 'seq:%'")))
+    return modes.group_entries(modes.with_key(rows, ["query_id", "merge_key"]), ["query_id", "merge_key"], several=True, dedup=F.lit(True))
 
 
 @query("k62_merge_by_sequence", f"WITH {_MERGED} SELECT query_id, merge_key, id, is_primary FROM merged")
@@ -135,14 +145,12 @@ def _(spark, root):
     f"""WITH {_MERGED} SELECT query_id, merge_key, count(DISTINCT (expression, norm_reading)) AS n_headwords, bool_or(is_primary) AS is_primary FROM merged WHERE merge_key <> 'head' GROUP BY ALL""",
 )
 def _(spark, root):
-    groups = modes.group_entries(merged(spark, root).where("merge_key LIKE 'seq:%'"), ["query_id", "merge_key"], dedup=True)
-    return groups.select("query_id", "merge_key", F.size("headwords").cast("bigint").alias("n_headwords"), "is_primary")
+    return merged_groups(spark, root).entries.select("query_id", "merge_key", F.col("n_headwords").cast("bigint").alias("n_headwords"), "is_primary")
 
 
 @query("k64_definitions", f"WITH {ENTRIES} SELECT query_id, expression, id, CAST(row_number() OVER (PARTITION BY query_id, expression, norm_reading ORDER BY id) - 1 AS INTEGER) AS index FROM e")
 def _(spark, root):
-    rows = grouped(spark, root).select("query_id", "expression", F.explode("definitions").alias("d"))
-    return rows.select("query_id", "expression", "d.id", "d.index")
+    return _definitions(grouped(spark, root)).select("query_id", "expression", "id", "index")
 
 
 @query(
@@ -150,8 +158,8 @@ def _(spark, root):
     f"""WITH {ENTRIES} SELECT query_id, expression, norm_reading, dictionary, count(DISTINCT sequence) AS n_sequences, min(id) AS id FROM e GROUP BY query_id, expression, norm_reading, dictionary, CAST(content AS VARCHAR)""",
 )
 def _(spark, root):
-    rows = grouped(spark, root, dedup=True).select("query_id", "expression", "norm_reading", F.explode("definitions").alias("d"))
-    return rows.select("query_id", "expression", "norm_reading", "d.dictionary", F.size("d.sequences").cast("bigint").alias("n_sequences"), "d.id")
+    rows = _definitions(grouped(spark, root, dedup=True))
+    return rows.select("query_id", "expression", "norm_reading", "dictionary", F.size("sequences").cast("bigint").alias("n_sequences"), "id")
 
 
 @query(
@@ -261,15 +269,14 @@ def _(spark, root):
 
 @query("k79_exclude_dictionaries", f"WITH {ENTRIES} SELECT query_id, expression, norm_reading, count(*) AS n_definitions FROM e WHERE dictionary <> {_MAIN} GROUP BY query_id, expression, norm_reading")
 def _(spark, root):
-    kept = filters.exclude_dictionaries(grouped(spark, root), [main_dictionary(spark, root)])
-    return kept.select("query_id", "expression", "norm_reading", F.size("definitions").cast("bigint").alias("n_definitions"))
+    kept = filters.exclude_groups(grouped(spark, root), [main_dictionary(spark, root)])
+    return kept.entries.select("query_id", "expression", "norm_reading", "n_definitions")
 
 
 @query("k81_prune_headwords", f"WITH {_MERGED} SELECT query_id, merge_key, count(DISTINCT (m.expression, m.norm_reading)) AS n_headwords FROM merged m JOIN lexe l USING (id) WHERE merge_key <> 'head' AND dictionary <> (SELECT name FROM main) GROUP BY query_id, merge_key")
 def _(spark, root):
-    groups = modes.group_entries(merged(spark, root).where("merge_key LIKE 'seq:%'"), ["query_id", "merge_key"], dedup=True)
-    kept = filters.exclude_dictionaries(groups, [main_dictionary(spark, root)])
-    return kept.select("query_id", "merge_key", F.size("headwords").cast("bigint").alias("n_headwords"))
+    kept = filters.exclude_groups(merged_groups(spark, root), [main_dictionary(spark, root)])
+    return kept.entries.select("query_id", "merge_key", F.col("n_headwords").cast("bigint").alias("n_headwords"))
 
 
 @query("k82_exclude_tags", f"WITH {_TAGS} SELECT name, category FROM merged_tags WHERE NOT list_contains(coalesce(dictionaries, []), (SELECT min(title) FROM summaries))")
@@ -294,14 +301,13 @@ def _(spark, root):
     SELECT query_id, entry_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ml DESC, ec DESC, di, score DESC, strlen(term) DESC NULLS LAST, term NULLS FIRST, n DESC, entry_id) AS INTEGER) AS entry_rank FROM g""",
 )
 def _(spark, root):
-    rows = grouped(spark, root).withColumns({"term": F.col("expression"), "n_definitions": F.size("definitions"), "entry_id": F.element_at("definitions", 1)["id"], "frequency_order": F.lit(0)})
+    rows = grouped(spark, root).entries.withColumn("frequency_order", F.lit(0))
     return rank.rank_entries(rank.chain_sizes(rows), ["query_id"]).select("query_id", "entry_id", "entry_rank")
 
 
 @query("k85_definition_order", f"WITH {ENTRIES} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id, expression, norm_reading ORDER BY dictionary_index, score DESC, id) AS INTEGER) AS pos FROM e")
 def _(spark, root):
-    rows = grouped(spark, root).select("query_id", F.posexplode(rank.sort_definitions(F.col("definitions"))).alias("p", "d"))
-    return rows.select("query_id", "d.id", (F.col("p") + 1).alias("pos"))
+    return rank.number_definitions(grouped(spark, root).definitions, ["entry_key"]).select("query_id", "id", "pos")
 
 
 @query("k86_meta_order", f"WITH {EN}, {_PITCH} SELECT headword_id, meta_id, index, CAST(row_number() OVER (PARTITION BY headword_id ORDER BY dictionary_index, index, meta_id) AS INTEGER) AS meta_rank FROM p JOIN en ON name = meta_dictionary")
@@ -339,42 +345,5 @@ def _(spark, root):
       FROM e GROUP BY query_id, expression, norm_reading) SELECT query_id, entry_id, coalesce(expression, '') AS "Expression", coalesce(reading, '') AS "Reading", definition AS "Meaning", '' AS "Picture" FROM d""",
 )
 def _(spark, root):
-    rows = grouped(spark, root).withColumns({"entry_id": F.element_at("definitions", 1)["id"], "sentence": F.lit("")})
+    rows = grouped(spark, root).nested().withColumn("sentence", F.lit(""))
     return notes.notes(rows, {"term": "Expression", "reading": "Reading", "definition": "Meaning", "image": "Picture"}, ["query_id", "entry_id"])
-
-
-def queries_of_headwords(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "headwords").select(F.col("headword_id").alias("query_id"), F.col("headword").alias("text"), "lang")
-
-
-def texts(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select(F.col("doc_id").alias("query_id"), "text", "lang")
-
-
-def _find(mode: str):
-    def run(spark, root):
-        found = pipeline.find_terms(queries_of_headwords(spark, root), pipeline.Lexicon.of(spark, root), mode, pipeline.LookupOptions(main_dictionary=main_dictionary(spark, root)))
-        return found.select("query_id", "entry_rank", "entry_id", "term", "reading", "score", "n_definitions", "exact_count", "matched_length", "frequency_order", "headwords", "definitions", "frequencies", "pronunciations")
-
-    return run
-
-
-for _mode in modes.MODES:
-    QUERIES[f"k104_find_terms_{_mode}"] = _find(_mode)
-
-
-@query("k39_search_at")
-def _(spark, root):
-    at = anchors(spark, root).select(F.col("doc_id").alias("query_id"), "text", "lang", F.col("start").alias("position"))
-    found = pipeline.search_at(at, pipeline.Lexicon.of(spark, root))
-    return found.select("query_id", "entry_rank", "entry_id", "term", "original", "matched_length", "frequencies", "pronunciations", F.col("sentence.text").alias("sentence"), F.col("sentence.offset").alias("anchor"))
-
-
-@query("k94_search_segments")
-def _(spark, root):
-    return pipeline.search(texts(spark, root), pipeline.Lexicon.of(spark, root))
-
-
-@query("k96_search_entries")
-def _(spark, root):
-    return pipeline.search_entries(texts(spark, root), pipeline.Lexicon.of(spark, root))

@@ -319,10 +319,9 @@ def _(spark, root):
 _RULES = ", ".join(f"('{i}', '{lang}', '{a}', '{b}', {ci}, {co})" for i, lang, a, b, ci, co, _ in deinflect.RULES)
 WORDS = f"words AS (SELECT DISTINCT lang, word FROM (SELECT {LANG} AS lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL))"
 DEINFLECTED = f"""rules(rid, rlang, a, b, ci, co) AS (VALUES {_RULES}), {WORDS},
-  d0 AS (SELECT lang, word, word AS text, CAST(0 AS BIGINT) AS cond, '' AS chain FROM words),
-  d1 AS (SELECT lang, word, left(text, length(text) - length(a)) || b AS text, CAST(co AS BIGINT) AS cond, rid AS chain FROM d0 JOIN rules ON rlang = lang AND suffix(text, a)),
-  d2 AS (SELECT lang, word, left(text, length(text) - length(a)) || b AS text, CAST(co AS BIGINT) AS cond, rid || '<' || chain AS chain FROM d1 JOIN rules ON rlang = lang AND suffix(text, a) WHERE (cond = 0 OR ci = 0 OR (cond & ci) <> 0)),
-  deinflected AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 WHERE text <> '' UNION ALL SELECT * FROM d2 WHERE text <> '')"""
+  deinflected AS (SELECT lang, word, word AS text, CAST(0 AS BIGINT) AS cond, '' AS chain FROM words
+    UNION ALL SELECT lang, word, left(text, length(text) - length(a)) || b, CAST(co AS BIGINT), rid || CASE WHEN chain = '' THEN '' ELSE '<' || chain END
+    FROM deinflected JOIN rules ON rlang = lang AND suffix(text, a) WHERE (chain = '' OR (cond & ci) <> 0) AND length(text) + length(b) > length(a))"""
 
 
 def words(spark: SparkSession, root: str) -> DataFrame:
@@ -333,10 +332,10 @@ def words(spark: SparkSession, root: str) -> DataFrame:
 
 def deinflected_words(spark: SparkSession, root: str) -> DataFrame:
     found = deinflect.as_candidates(words(spark, root), "word", ["lang"])
-    return deinflect.deinflections(found, deinflect.rule_table(spark), "lang")
+    return deinflect.deinflections(found, "lang")
 
 
-@query("k48_deinflect", f"WITH {DEINFLECTED} SELECT lang, word, text, cond AS conditions, chain FROM deinflected")
+@query("k48_deinflect", f"WITH RECURSIVE {DEINFLECTED} SELECT lang, word, text, cond AS conditions, chain FROM deinflected")
 def _(spark, root):
     return deinflected_words(spark, root).select("lang", F.col("original").alias("word"), F.col("deinflected").alias("text"), "conditions", F.array_join("rules", "<").alias("chain"))
 
@@ -346,14 +345,14 @@ def _(spark, root):
     return deinflect.as_candidates(words(spark, root), "word", ["lang"]).select("lang", F.col("deinflected").alias("text"), "conditions")
 
 
-_FLAGS = " + ".join(f"CASE WHEN list_contains(r, '{k}') THEN {v} ELSE 0 END" for k, v in deinflect.CONDITIONS.items())
-_POS = f"""t AS (SELECT DISTINCT expression, dictionary, flags, pos FROM (SELECT expression, dictionary, {_FLAGS} AS flags, coalesce(parts_of_speech_filter, false) AS pos
+_FLAGS = " | ".join(f"CASE WHEN list_contains(r, '{k}') THEN {v} ELSE 0 END" for k, v in deinflect.CONDITIONS.items())
+_POS = f"""t AS (SELECT DISTINCT expression, dictionary, flags, pos FROM (SELECT expression, dictionary, ({_FLAGS}) AS flags, coalesce(parts_of_speech_filter, false) AS pos
   FROM (SELECT expression, dictionary, {_values_sql("rules")} AS r FROM terms) JOIN dictionary_options ON name = dictionary AND enabled))"""
 
 
 @query(
     "k51_pos_filter",
-    f"WITH {DEINFLECTED}, {_POS} SELECT lang, word, chain, t.dictionary, count(*) AS n FROM deinflected d JOIN t ON t.expression = d.text WHERE NOT pos OR cond = 0 OR (cond & CAST(flags AS BIGINT)) <> 0 GROUP BY ALL",
+    f"WITH RECURSIVE {DEINFLECTED}, {_POS} SELECT lang, word, chain, t.dictionary, count(*) AS n FROM deinflected d JOIN t ON t.expression = d.text WHERE NOT pos OR cond = 0 OR (cond & CAST(flags AS BIGINT)) <> 0 GROUP BY ALL",
 )
 def _(spark, root):
     options = enabled(spark, root).select(F.col("name").alias("dictionary"), "parts_of_speech_filter")
@@ -383,6 +382,6 @@ def _(spark, root):
     return deinflect.only_content(table(spark, root, "terms").select("import_ord", "glossary")).select("import_ord", F.size("glossary").cast("bigint").alias("n_content"))
 
 
-@query("k54_display_rules", "WITH shown(rid, d) AS (VALUES " + ", ".join(f"('{r[0]}', '{r[6]}')" for r in deinflect.RULES) + f"), {DEINFLECTED} SELECT DISTINCT chain, CASE WHEN contains(chain, '<') THEN (SELECT d FROM shown WHERE rid = split_part(chain, '<', 1)) || '<' || (SELECT d FROM shown WHERE rid = split_part(chain, '<', 2)) ELSE coalesce((SELECT d FROM shown WHERE rid = chain), '') END AS display FROM deinflected")
+@query("k54_display_rules", "WITH RECURSIVE shown(rid, d) AS (VALUES " + ", ".join(f"('{r[0]}', '{r[6]}')" for r in deinflect.RULES) + f"), {DEINFLECTED}, c AS (SELECT DISTINCT chain FROM deinflected), s AS (SELECT chain, string_split(chain, '<') AS ids, unnest(range(1, len(string_split(chain, '<')) + 1)) AS i FROM c) SELECT chain, coalesce(string_agg(d, '<' ORDER BY i), '') AS display FROM s LEFT JOIN shown ON rid = ids[i] GROUP BY chain")
 def _(spark, root):
     return deinflected_words(spark, root).select("rules").distinct().select(F.array_join("rules", "<").alias("chain"), F.array_join(deinflect.display_rules(F.col("rules")), "<").alias("display")).distinct()

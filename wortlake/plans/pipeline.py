@@ -1,12 +1,15 @@
 """The lookup pipeline: query texts to candidates, matches, entries, groups, enrichment, order, segments.
 
 One lazily built plan serves all query texts at once. A query is a row (query_id, text, lang); what the steps
-group and rank never spans more than one query.
+group and rank never spans more than one query. Up to the groups the rows are narrow: keys, flags and numbers. Glossaries and tags are
+read for the rows that were found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,34 +21,65 @@ from wortlake.sources.store import last_written
 from wortlake.sources.tables import table
 
 LANGUAGES = sorted({*textproc.PREPROCESSORS, *(r[1] for r in deinflect.RULES)} - {""})
+FORMS = "array<struct<kind:string,form_of:string,rules:array<string>>>"
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """The tables of a lexicon: the last written row per id, its metas, tags and enabled dictionaries."""
+    """The tables of a lexicon. terms may hold several versions of an id; the one with the greatest import_ord, which must be unique, is the live one.
+
+    With `current`, terms has one row per id already, as the tables of a store have, and no version is looked for. Without a column
+    import_ord terms must be current.
+    """
 
     terms: DataFrame
     metas: DataFrame
     tags: DataFrame
     options: DataFrame
+    current: bool = False
 
     @classmethod
-    def of(cls, spark: SparkSession, root: str) -> Lexicon:
-        terms = last_written(table(spark, root, "terms"), ["id"], ["import_ord"])
-        return cls(terms, table(spark, root, "term_meta").dropDuplicates(["id"]), table(spark, root, "tags"), table(spark, root, "dictionary_options"))
+    def of(cls, spark: SparkSession, root: str, *, current: bool = False) -> Lexicon:
+        metas = table(spark, root, "term_meta")
+        return cls(table(spark, root, "terms"), last_written(metas, ["id"], ["term", "mode", "dictionary"]), table(spark, root, "tags"), table(spark, root, "dictionary_options"), current)
 
     @property
     def enabled(self) -> DataFrame:
         return lookup.enabled_map(self.options)
 
+    @property
+    def ordered(self) -> DataFrame:
+        return self.terms if "import_ord" in self.terms.columns else self.terms.withColumn("import_ord", F.lit(0).cast("bigint"))
 
-def candidates(queries: DataFrame, options: LookupOptions, *, longest: int | None = None) -> DataFrame:
-    """(query_id, lang, original, transformed, deinflected, conditions, rules, text_chain, source), distinct per query.
-
-    Substrings by the language's way of writing (or options.search_resolution letter), of what can become a key of `longest` characters (null:
-    of the whole text); then
-    replacements and processors, then de-inflection, then processors after it.
-    """
+    @property
+    def live(self) -> DataFrame:
+        """The live rows without their wide columns: (id, import_ord, expression, reading, sequence, dictionary, rules, has_content, forms).
+
+        Of the glossary only kinds and forms are read, so the scan prunes its texts.
+        """
+        kinds = F.col("glossary.kind")
+        rows = self.ordered.select(
+            "id", "import_ord", "expression", "reading", "sequence", "dictionary", "rules", F.coalesce(F.array_contains(kinds, "Content"), F.lit(False)).alias("has_content"),
+            F.when(F.array_contains(kinds, "Deinflection"), F.arrays_zip(kinds, F.col("glossary.form_of"), F.col("glossary.rules")).cast(FORMS)).alias("forms"),
+        )
+        return rows if self.current or "import_ord" not in self.terms.columns else last_written(rows, ["id"], ["import_ord"])
+
+    def with_options(self) -> DataFrame:
+        """The live rows of enabled dictionaries, with what their options say."""
+        enabled = self.enabled.select(F.col("name").alias("dictionary"), "alias", "dictionary_index", "parts_of_speech_filter", "use_deinflections")
+        return self.live.join(enabled, "dictionary")
+
+    def fetched(self, rows: DataFrame) -> DataFrame:
+        """Rows (with id and import_ord) with the wide columns of their term: score, tags unpacked, the content of the glossary."""
+        wide = self.ordered.select(
+            "id", "import_ord", F.coalesce("score", F.lit(0)).alias("score"), packed.unpack("definition_tags").alias("definition_tags"), packed.unpack("term_tags").alias("term_tags"), deinflect.is_content(F.col("glossary")).alias("glossary")
+        )
+        return rows.join(wide, ["id", "import_ord"])
+
+
+def pieces(queries: DataFrame, options: LookupOptions, *, longest: int | None = None) -> DataFrame:
+    """(query_id, lang, original): the substrings of each text by the language's way of writing (or options.search_resolution letter), of what can become
+    a key of `longest` characters (null: of the whole text)."""
     if options.match_type != "exact":
         raise EngineError(f"the pipeline looks up whole keys only, not by {options.match_type}: see lookup.prefix_lookup")
     texts = queries.select("query_id", textproc.base_language("lang").alias("lang"), F.col("text"))
@@ -53,18 +87,31 @@ def candidates(queries: DataFrame, options: LookupOptions, *, longest: int | Non
         texts = texts.withColumn("text", F.when(F.col("lang").isin("ja", "zh", "yue"), substrings.cjk_prefix("text")).otherwise(F.col("text")))
     letters = by_letters(F.col("lang"), options)
     reach = F.col("text") if longest is None else within(F.col("text"), F.lit(longest), letters)
-    pieces = F.when(letters, substrings.letter_substrings(reach)).otherwise(substrings.word_substrings(reach))
-    rows = texts.where("text <> ''").select("query_id", "lang", F.explode(pieces).alias("original"))
+    cut = F.when(letters, substrings.letter_substrings(reach)).otherwise(substrings.word_substrings(reach))
+    return texts.where("text <> ''").select("query_id", "lang", F.explode(cut).alias("original"))
+
+
+def expanded(rows: DataFrame, options: LookupOptions) -> DataFrame:
+    """Substrings (lang, original and more) as candidates: with replacements and processors, de-inflected, with the processors after it.
+
+    Adds transformed, deinflected, conditions, rules, text_chain and source.
+    """
     empty = F.array().cast("array<string>")
-    rows = rows.withColumn("transformed", F.explode(_variants(F.col("original"), F.col("lang"), options))).select("*", F.col("transformed.v").alias("_v"), F.col("transformed.c").alias("text_chain"))
-    rows = rows.select("query_id", "lang", "original", F.col("_v").alias("transformed"), F.col("_v").alias("deinflected"), F.lit(0).cast("bigint").alias("conditions"), empty.alias("rules"), "text_chain", F.lit("algorithm").alias("source"))
+    given = [c for c in rows.columns]
+    rows = rows.withColumn("_t", F.explode(_variants(F.col("original"), F.col("lang"), options)))
+    rows = rows.select(*given, F.col("_t.v").alias("transformed"), F.col("_t.v").alias("deinflected"), F.lit(0).cast("bigint").alias("conditions"), empty.alias("rules"), F.col("_t.c").alias("text_chain"), F.lit("algorithm").alias("source"))
     if options.deinflect:
-        rows = deinflect.all_deinflections(rows, "lang")
+        rows = deinflect.deinflections(rows, "lang")
         post = textproc.per_language(F.col("lang"), textproc.POSTPROCESSORS, lambda ps: _steps(F.col("deinflected"), ps))
         rows = rows.withColumn("_p", F.explode(post)).withColumn("deinflected", F.col("_p.v")).withColumn("text_chain", F.concat("text_chain", "_p.c")).drop("_p")
     return rows.where("deinflected <> ''")
 
 
+def candidates(queries: DataFrame, options: LookupOptions, *, longest: int | None = None) -> DataFrame:
+    """(query_id, lang, original, transformed, deinflected, conditions, rules, text_chain, source), distinct per query: `pieces`, `expanded`."""
+    return expanded(pieces(queries, options, longest=longest), options)
+
+
 def _steps(text, processors):
     """Every way through the processors as an array of (v, c): at most two per option, unrolled."""
     out = [(text, F.array().cast("array<string>"))]
@@ -85,21 +132,20 @@ def _variants(text, lang, options: LookupOptions):
     return F.array_distinct(F.concat(*labelled)) if len(labelled) > 1 else labelled[0]
 
 
-def index(lexicon: Lexicon) -> DataFrame:
-    """The enabled dictionaries' terms by lookup key, with their content and their dictionary's options."""
-    enabled = lexicon.enabled.select(F.col("name").alias("dictionary"), "alias", "dictionary_index", "parts_of_speech_filter", "use_deinflections")
-    terms = lexicon.terms.join(enabled, "dictionary").withColumn("flags", deinflect.rule_flags(packed.unpack("rules"))).drop("rules")
-    return deinflect.keyed_lexicon(terms)
+def index(live: DataFrame) -> DataFrame:
+    """Live rows with their dictionary's options by lookup key, dictionary hops resolved, without those that have no content to show."""
+    flagged = live.withColumn("flags", deinflect.rule_flags(packed.unpack("rules"))).drop("rules")
+    return deinflect.keyed_lexicon(flagged).where("has_content")
 
 
 def matches(found: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Candidates with the rows under their key that pass the part-of-speech filter and have content."""
+    """Candidates with the rows under their key that pass the part-of-speech filter."""
     hits = keyed.join(found, F.col("key") == F.col("deinflected"))
     passed = hits.where(deinflect.passes_pos(F.col("conditions"), F.col("key_flags"), F.col("key_pos_filter")))
     hopped = F.col("hop").isNotNull()
     source = F.when(hopped & (F.size("rules") == 0), "dictionary").when(hopped, "both").otherwise("algorithm")
     chained = passed.withColumns({"source": source, "rules": F.concat("rules", F.coalesce("hop", F.array().cast("array<string>")))})
-    return deinflect.only_content(chained.drop("key", "key_flags", "key_pos_filter", "hop", "flags"))
+    return chained.drop("key", "key_flags", "key_pos_filter", "hop", "flags", "forms", "has_content", "parts_of_speech_filter", "use_deinflections")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -108,11 +154,9 @@ def cut(rows: DataFrame) -> DataFrame:
 
 
 def as_entries(found: DataFrame, primary: str = "") -> DataFrame:
-    """Matches as entries: one per query and id, longest transformed text first, with all columns the modes need."""
+    """Matches as entries: one per query and id, longest transformed text first, with the narrow columns the modes need."""
     source = F.when(F.contains("expression", F.col("deinflected")), "term").otherwise("reading")
-    built = entries.build(found.withColumn("match_source", source)).withColumns(
-        {"alias": F.coalesce(F.nullif("alias", F.lit("")), F.col("dictionary")), "score": F.coalesce("score", F.lit(0)), "definition_tags": packed.unpack("definition_tags"), "term_tags": packed.unpack("term_tags")}
-    )
+    built = entries.build(found.withColumn("match_source", source)).withColumn("alias", F.coalesce(F.nullif("alias", F.lit("")), F.col("dictionary")))
     kept = entries.keep_longest(built, ["query_id", "lang"])
     return kept.withColumns(
         {
@@ -121,10 +165,11 @@ def as_entries(found: DataFrame, primary: str = "") -> DataFrame:
             "match_primary_reading": F.lit(bool(primary)) & (F.col("reading") == F.lit(primary)),
             "entry_ord": -F.octet_length("original"),
         }
-    )
+    ).select(*ENTRY)
 
 
-ENTRY = ("query_id", "lang", "id", "expression", "reading", "norm_reading", "dictionary", "dictionary_index", "alias", "sequence", "score", "is_primary", "match_primary_reading", "match_source", "original", "deinflected", "max_length", "exact_count", "inflections", "text_chains", "definition_tags", "term_tags", "glossary", "entry_ord")
+#: The narrow columns of an entry.
+ENTRY = ("query_id", "lang", "id", "import_ord", "expression", "reading", "norm_reading", "dictionary", "dictionary_index", "alias", "sequence", "is_primary", "match_primary_reading", "match_source", "original", "deinflected", "max_length", "exact_count", "longest_original", "inflections", "text_chains", "entry_ord")
 
 
 #: Types of what a lexicon may lack, and the order of metas within an entry.
@@ -150,235 +195,318 @@ def with_hidden_main(lexicon: Lexicon, options: LookupOptions) -> tuple[Lexicon,
     return replace(lexicon, options=shown.unionByName(added)), replace(options, excluded=(*options.excluded, *hidden))
 
 
-def enrich(entries: DataFrame, lexicon: Lexicon, options: LookupOptions, *, simple: bool = False) -> DataFrame:
-    """Adds frequencies, pronunciations and expanded tags to entries (with entry_key, headwords and definitions) and orders their definitions.
+@dataclass(frozen=True)
+class Found:
+    """The result of a lookup as tables that meet on entry_key.
+
+    entries: one row per entry, ranked per query. headwords, definitions (pos: their order from 1), frequencies and pronunciations
+    (in META_ORDER), tags (owner: d, h or p with what it is a tag of). Nothing is nested; `nested` makes one row of each entry.
+    """
+
+    entries: DataFrame
+    headwords: DataFrame
+    definitions: DataFrame
+    frequencies: DataFrame
+    pronunciations: DataFrame
+    tags: DataFrame
+
+    def nested(self) -> DataFrame:
+        """One row per entry with arrays headwords, definitions, frequencies and pronunciations; for entries whose definitions fit a row."""
+        tag = ("name", "category", "tag_order", "score", "dictionaries", "content", "redundant")
+        tags = self.tags.groupBy("entry_key", "owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("tag_order", "name", "category", F.struct(*tag).alias("_v")))), lambda t: t["_v"]).alias("tags"))
+        none = F.array().cast(tags.schema["tags"].dataType)
+
+        def owned(rows: DataFrame, owner) -> DataFrame:
+            return rows.withColumn("owner", owner).join(tags, ["entry_key", "owner"], "left").withColumn("tags", F.coalesce("tags", none)).drop("owner")
+
+        heads = modes.nest(owned(self.headwords, _owner("h", F.col("headword_index"))), "headwords", "headword_index", ("term", "reading", "primary_term", "sources", "tags"))
+        defs = modes.nest(owned(self.definitions, _owner("d", F.col("index"))), "definitions", "pos", ("index", *modes.DEFINITION, "frequency_order", "tags"))
+        said = owned(self.pronunciations, _said())
+        metas = {"frequencies": self.frequencies, "pronunciations": said}
+        out = self.entries.join(heads, "entry_key").join(defs, "entry_key")
+        for name, rows in metas.items():
+            fields = [c for c in rows.columns if c not in ("entry_key", *META_ORDER)]
+            listed = rows.groupBy("entry_key").agg(F.sort_array(F.collect_list(F.struct(*META_ORDER, *fields))).alias(name))
+            out = out.join(listed, "entry_key", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+        return out
+
+
+def enrich(groups: modes.Groups, lexicon: Lexicon, options: LookupOptions, per: list[str], *, simple: bool = False) -> Found:
+    """Groups with frequencies, pronunciations, expanded tags and the order of definitions, their entries ranked per query.
 
     Metas come from the enabled dictionaries that are not excluded, ordered by META_ORDER. Tags are expanded and grouped per owner:
-    those of definitions (with `redundant` for repeated parts of speech), of headwords and of pronunciations. Simple mode has no tags and
+    those of definitions (redundant where the part-of-speech tags repeat those of the definition before), of headwords and of pronunciations. Simple mode has no tags and
     only the frequencies of the sort dictionary.
     """
-    entries, sort = cut(entries), options.sort_frequency_dictionary
-    heads = entries.select("entry_key", F.posexplode("headwords").alias("headword_index", "_h")).select("entry_key", "headword_index", "_h.term", "_h.reading")
+    sort, ascending = options.sort_frequency_dictionary, options.sort_frequency_order == "ascending"
+    heads = groups.headwords.select("entry_key", "headword_index", "term", "reading")
     shown = lexicon.enabled.where(~F.col("name").isin(*options.excluded)) if options.excluded else lexicon.enabled
     shown = shown.select(F.col("name").alias("meta_dictionary"), F.coalesce(F.nullif("alias", F.lit("")), F.col("name")).alias("meta_alias"), "dictionary_index")
     metas = _with_missing(lexicon.metas, {"pitch": _PITCH, "ipa": _IPA})
     metas = metas.where((F.col("dictionary") == sort) & (F.col("mode") == "freq") if sort else F.lit(False)) if simple else metas
 
-    def listed(rows: DataFrame, name: str, *fields) -> DataFrame:
-        return rows.join(shown, "meta_dictionary").select("entry_key", F.struct(*META_ORDER, "meta_dictionary", "meta_alias", *fields).alias(name))
+    def listed(rows: DataFrame, *fields) -> DataFrame:
+        return rows.join(shown, "meta_dictionary").select("entry_key", *META_ORDER, "meta_dictionary", "meta_alias", *fields)
 
-    freqs = listed(meta.frequencies(heads, metas).withColumn("index", F.lit(0)), "frequencies", "has_reading", "frequency", "display_value", "display_value_parsed")
+    frequencies = listed(meta.frequencies(heads, metas).withColumn("index", F.lit(0)), "has_reading", "frequency", "display_value", "display_value_parsed")
     pitches = meta.pitches(heads, metas).withColumns({"kind": F.lit("pitch"), "ipa": F.lit(None).cast("string")})
     spoken = meta.transcriptions(heads, metas).withColumns({"kind": F.lit("ipa"), "position": F.lit(None).cast("int"), "nasal": F.array().cast("array<smallint>"), "devoice": F.array().cast("array<smallint>")})
-    spoken = listed(pitches.unionByName(spoken), "pronunciations", "kind", "position", "nasal", "devoice", "ipa", "tags")
-
-    definitions = entries.select("entry_key", F.explode("definitions").alias("_d")).select("entry_key", _owner("d", F.col("_d.index")).alias("owner"), "_d.dictionary", F.explode("_d.definition_tags").alias("tag_name"))
-    named = entries.select("entry_key", F.posexplode("headwords").alias("_i", "_h")).select("entry_key", _owner("h", F.col("_i")).alias("owner"), F.explode("_h.tag_names").alias("_t"))
-    named = named.select("entry_key", "owner", F.col("_t.dictionary").alias("dictionary"), F.col("_t.name").alias("tag_name"))
-    said = spoken.select("entry_key", _said("pronunciations").alias("owner"), F.col("pronunciations.meta_dictionary").alias("dictionary"), F.explode("pronunciations.tags").alias("tag_name"))
-    names = definitions.unionByName(named).unionByName(said).where("tag_name <> ''")
+    said = listed(pitches.unionByName(spoken), "kind", "position", "nasal", "devoice", "ipa", F.col("tags").alias("tag_names"))
+
+    definitions = groups.definitions
+    if sort:
+        of_heads = frequencies.where(F.col("meta_dictionary") == sort).select("entry_key", "headword_index", "frequency")
+        used = definitions.select("entry_key", "index", F.explode("headword_indices").alias("headword_index"))
+        value = F.min("frequency") if ascending else -F.max("frequency")
+        ordered = used.join(of_heads, ["entry_key", "headword_index"]).groupBy("entry_key", "index").agg(value.alias("frequency_order"))
+        definitions = definitions.join(ordered, ["entry_key", "index"], "left")
+        of_entries = frequencies.where(F.col("meta_dictionary") == sort).groupBy("entry_key").agg(value.alias("frequency_order"))
+        numbers = groups.entries.join(of_entries, "entry_key", "left")
+    else:
+        definitions, numbers = (r.withColumn("frequency_order", F.lit(0).cast("bigint")) for r in (definitions, groups.entries))
+    last = F.lit(meta.MAX if sort and ascending else 0)
+    definitions, numbers = (r.withColumn("frequency_order", F.coalesce("frequency_order", last)) for r in (definitions, numbers))
+
+    names = definitions.select("entry_key", _owner("d", F.col("index")).alias("owner"), "dictionary", F.explode("definition_tags").alias("tag_name"))
+    names = names.unionByName(groups.term_tags.select("entry_key", _owner("h", F.col("headword_index")).alias("owner"), "dictionary", "tag_name"))
+    names = names.unionByName(said.select("entry_key", _said().alias("owner"), F.col("meta_dictionary").alias("dictionary"), F.explode("tag_names").alias("tag_name")))
+    names = names.where(F.lit(not simple) & (F.col("tag_name") != ""))
     names = names.where(~F.col("dictionary").isin(*options.excluded)) if options.excluded else names
-    expanded = modes.expand_tags(names.where(F.lit(not simple)), _with_missing(lexicon.tags, _TAG))
-    expanded = expanded.select("entry_key", "owner", "dictionary", F.col("tag_name").alias("name"), "category", "tag_order", F.col("tag_score").alias("score"), F.try_element_at("content", F.lit(1)).alias("notes"))
-    tags = modes.merge_similar_tags(expanded, ["entry_key", "owner"]).select("entry_key", F.struct("owner", "tag_order", "name", "category", "score", "dictionaries", "content").alias("_tags"))
+    tags = tagged(names, lexicon, ["entry_key", "owner"])
+    # Redundant part-of-speech tags: those of a definition that repeat the ones of the definition before it, of the same dictionary.
+    pos = tags.where((F.col("category") == "partOfSpeech") & F.startswith("owner", F.lit("d"))).groupBy("entry_key", "owner").agg(F.sort_array(F.collect_set("name")).alias("_names"))
+    spoken_of = definitions.select("entry_key", "index", "dictionary", _owner("d", F.col("index")).alias("owner")).join(pos, ["entry_key", "owner"], "left")
+    repeated = filters.flag_redundant(spoken_of.withColumn("_names", F.coalesce("_names", F.array().cast("array<string>"))), ["entry_key"], ["index"], "_names")
+    repeated = repeated.where("redundant").select("entry_key", "owner", "redundant")
+    tags = tags.join(repeated, ["entry_key", "owner"], "left").withColumn("redundant", F.coalesce("redundant", F.lit(False)) & (F.col("category") == "partOfSpeech"))
 
-    rows = freqs.unionByName(spoken, allowMissingColumns=True).unionByName(tags, allowMissingColumns=True)
-    added = ("frequencies", "pronunciations", "_tags")
-    lists = rows.groupBy("entry_key").agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in added))
-    joined = entries.join(lists, "entry_key", "left").withColumns({c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)) for c in added})
+    definitions = rank.number_definitions(definitions, ["entry_key"])
+    shown_rules = F.transform("inflections", lambda i: i.withField("rules", deinflect.display_rules(i["rules"])))
+    ranked = rank.rank_entries(rank.chain_sizes(numbers.withColumn("inflections", shown_rules)), per)
+    return Found(ranked, groups.headwords, definitions, frequencies, said.drop("tag_names"), tags)
 
-    def own(owner):
-        return F.transform(F.filter("_tags", lambda t: t["owner"] == owner), lambda t: t.dropFields("owner"))
 
-    def tagged(d):
-        d = d.withField("tags", own(_owner("d", d["index"])))
-        theirs = F.filter("frequencies", lambda f: F.array_contains(d["headword_indices"], f["headword_index"]))
-        return d.withField("frequency_order", meta.frequency_value(theirs, sort, ascending=options.sort_frequency_order == "ascending") if sort else F.lit(0).cast("bigint"))
-
-    out = joined.withColumns(
-        {
-            "headwords": F.transform("headwords", lambda h, i: h.withField("tags", own(_owner("h", i)))),
-            "definitions": F.transform("definitions", tagged),
-            "pronunciations": F.transform("pronunciations", lambda p: p.withField("tags", own(_said(p)))),
-        }
-    )
-    out = out.withColumn("definitions", filters.flag_redundant_tags(F.col("definitions")))
-    return out.withColumn("definitions", rank.sort_definitions(F.col("definitions"), by_frequency=True)).drop("_tags")
+def tagged(names: DataFrame, lexicon: Lexicon, per: list[str]) -> DataFrame:
+    """Tag names (per, dictionary, tag_name) as tags: expanded, then those of one name and category merged per owner."""
+    expanded = modes.expand_tags(names, _with_missing(lexicon.tags, _TAG))
+    expanded = expanded.select(*per, "dictionary", F.col("tag_name").alias("name"), "category", "tag_order", F.col("tag_score").alias("score"), F.try_element_at("content", F.lit(1)).alias("notes"))
+    return modes.merge_similar_tags(expanded, per)
 
 
 def _owner(kind: str, index):
     return F.concat(F.lit(kind), index.cast("string"))
 
 
-def _said(pronunciation):
-    p = F.col(pronunciation) if isinstance(pronunciation, str) else pronunciation
-    return F.concat_ws(":", F.lit("p"), p["kind"], p["headword_index"].cast("string"), p["index"].cast("string"), p["meta_id"])
+def _said():
+    return F.concat_ws(":", F.lit("p"), "kind", F.col("headword_index").cast("string"), F.col("index").cast("string"), "meta_id")
 
 
-def find_terms(queries: DataFrame, lexicon: Lexicon, mode: str = "group", options: LookupOptions = LookupOptions()) -> DataFrame:
-    """The entries of each query, ranked: one row per entry with headwords, definitions, frequencies, pronunciations, tags, scores, matched_length and entry_rank.
+def find(queries: DataFrame, lexicon: Lexicon, mode: str = "group", options: LookupOptions = LookupOptions()) -> Found:
+    """The entries of each query, as tables.
 
     Modes: simple and split leave entries as they are (one headword, one definition each), group merges by headword, merge
-    by sequence of the main dictionary. Queries without entries give no row.
+    by sequence of the main dictionary. Queries without entries give no row. matched_length is that of all matches of the query, before anything is left out.
     """
     if mode not in modes.MODES:
         raise ValueError(f"no such mode: {mode}")
     if mode == "merge":
         lexicon, options = with_hidden_main(lexicon, options)
     per = ["query_id"]
-    keyed, written = index(lexicon), lexicon.terms.select(F.explode(F.array("expression", "reading")).alias("key"))
-    found = as_entries(matches(candidates(queries, options, longest=longest_key(written, options)), keyed), options.primary_reading)
-    # Of all matches of a query, before anything is left out.
-    found = found.withColumn("matched_length", F.max("longest_original").over(Window.partitionBy(*per))).select(*ENTRY, "matched_length")
-    by = {"group": ["expression", "norm_reading", "infl_key"], "merge": ["merge_key"]}.get(mode, ["id"])
-    if mode == "group":
-        grouped = modes.by_headword(found, per)
-    elif mode == "merge":
-        related = lexicon.terms.join(lexicon.enabled.select(F.col("name").alias("dictionary"), "alias", "dictionary_index"), "dictionary")
-        ready = related.withColumns({"definition_tags": packed.unpack("definition_tags"), "term_tags": packed.unpack("term_tags"), "glossary": deinflect.is_content(F.col("glossary")), "score": F.coalesce("score", F.lit(0)), "norm_reading": F.col("reading")})
+    live = lexicon.with_options()
+    longest, _ = key_facts(lexicon, options)
+    found = as_entries(matches(candidates(queries, options, longest=longest), index(live)), options.primary_reading)
+    if mode == "merge":
         main = options.main_dictionary or lexicon.enabled.orderBy("dictionary_index").first()["name"]
-        merged = modes.by_sequence(cut(found), ready, per, main, lookup.secondary(lexicon.enabled))
-        grouped = modes.group_entries(merged, [*per, "merge_key"], dedup=True)
-    else:
-        grouped = modes.group_entries(found, [*per, "id"])
-    grouped = filters.exclude_dictionaries(grouped, options.excluded) if options.excluded else grouped
-    first = F.element_at("headwords", 1)
-    keyed = grouped.withColumns({"term": first["term"], "reading": first["reading"], "n_definitions": F.size("definitions"), "entry_id": F.element_at("definitions", 1)["id"]})
-    keyed = enrich(keyed.withColumn("entry_key", F.to_json(F.struct(*per, *by))), lexicon, options, simple=mode == "simple")
-    if options.sort_frequency_dictionary:
-        order = meta.frequency_value(F.col("frequencies"), options.sort_frequency_dictionary, ascending=options.sort_frequency_order == "ascending")
-        keyed = keyed.withColumn("frequency_order", order)
+        shown = live.where("has_content").withColumn("alias", F.coalesce(F.nullif("alias", F.lit("")), F.col("dictionary")))
+        found = modes.by_sequence(cut(found), shown, per, main, lookup.secondary(lexicon.enabled))
+    rows = cut(lexicon.fetched(found))
+    lengths = rows.groupBy(*per).agg(F.max("longest_original").alias("matched_length"))
+    if mode == "merge":
+        groups = modes.group_entries(modes.with_key(rows, [*per, "merge_key"]), per, several=True, dedup=F.startswith("merge_key", F.lit("seq:")))
+    elif mode == "group":
+        groups = modes.group_entries(modes.by_headword(rows, per), per)
     else:
-        keyed = keyed.withColumn("frequency_order", F.lit(0))
-    keyed = keyed.withColumn("inflections", F.transform("inflections", lambda i: i.withField("rules", deinflect.display_rules(i["rules"]))))
-    return rank.rank_entries(rank.chain_sizes(keyed), per)
+        groups = modes.group_entries(modes.with_key(rows, [*per, "id"]), per)
+    groups = replace(groups, entries=groups.entries.join(lengths, per))
+    if options.excluded:
+        groups = filters.exclude_groups(groups, options.excluded)
+    return enrich(groups, lexicon, options, per, simple=mode == "simple")
+
+
+def find_terms(queries: DataFrame, lexicon: Lexicon, mode: str = "group", options: LookupOptions = LookupOptions()) -> DataFrame:
+    """The entries of each query, ranked: one row per entry with headwords, definitions, frequencies, pronunciations, tags, scores, matched_length and entry_rank. See `find`."""
+    return find(queries, lexicon, mode, options).nested()
 
 
-def search_at(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> DataFrame:
-    """Search at one position of each text (query_id, text, lang, position from 1): the entries of the scan window there, with the sentence around the match.
+def search_at(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> Found:
+    """Search at one position of each text (query_id, text, lang, position from 1): what the scan window there finds, with the sentence around each entry's match.
 
     Positions beyond the text find nothing.
     """
     scanned = texts.select("query_id", "lang", substrings.window(F.col("text"), F.col("position")).alias("text"))
-    found = find_terms(scanned, lexicon, "group", options)
+    found = find(scanned, lexicon, "group", options)
     around = substrings.sentence_around(F.col("text"), F.col("position"), F.length("original"))
-    return found.join(texts.select("query_id", "text", "position"), "query_id").withColumn("sentence", around).drop("text", "position")
+    placed = found.entries.join(texts.select("query_id", "text", "position"), "query_id").withColumn("sentence", around).drop("text", "position")
+    return replace(found, entries=placed)
 
 
 def _folded(text):
     """Equal for texts that processors make equal: the processors keep what this folds, and change nothing else."""
-    return F.translate(F.replace(F.lower(textproc.to_hiragana(text)), F.lit("ß"), F.lit("ss")), "ё", "е")
+    return F.translate(F.replace(F.lower(textproc.to_hiragana(text)), F.lit("ß"), F.lit("ss")), "ёς", "еσ")
+
+
+def _characters(side: int, languages: Sequence[str]) -> str:
+    return "".join(sorted({c for r in deinflect.RULES if r[1] in languages for c in r[side]}))
+
 
+def taken(languages: Sequence[str]) -> str:
+    """The characters that rules of these languages take away, with those that processors turn into them."""
+    own = _characters(2, languages)
+    return "".join(sorted({*own, *own.upper(), *own.translate(str.maketrans(textproc._HIRAGANA, textproc._KATAKANA)), *"ßẞёЁ"}))
 
-#: The characters that rules take away and those they leave.
-TAKEN, LEFT = ("".join(sorted({c for r in deinflect.RULES for c in r[i]})) for i in (2, 3))
 
+_WORD = r"[\p{L}\p{N}]"
 
-def within(text, longest, letters):
+
+def within(text, longest, letters, languages: Sequence[str] = LANGUAGES):
     """The text up to what can become a key of `longest` characters.
 
-    Chains of rules have any length, but what they take away are characters of TAKEN: a text that becomes a key begins with at
+    Chains of rules have any length, but what they take away are characters of `taken`: a text that becomes a key begins with at
     most `longest` others. Cuts are at the end of a run of those, and of a word where texts are cut by words, so that none begins a
     candidate that the text does not have.
     """
-    taken = "".join(sorted({*TAKEN, *TAKEN.upper(), *TAKEN.translate(str.maketrans(textproc._HIRAGANA, textproc._KATAKANA)), *"ßẞёЁ"}))
     after = F.substring(text, longest + 1, F.length(text))
-    run = F.when(letters, F.regexp_extract(after, f"^[{taken}]*", 0)).otherwise(F.regexp_extract(after, r"^[\p{L}\p{N}]*", 0))
+    run = F.when(letters, F.regexp_extract(after, f"^[{taken(languages)}]*", 0)).otherwise(F.regexp_extract(after, f"^{_WORD}*", 0))
     return F.concat(F.left(text, longest), run)
 
 
-def longest_key(keys: DataFrame, options: LookupOptions) -> int | None:
-    """The length of the longest key (column key), plain or folded; None with text replacements, which can make anything of a text."""
-    return None if options.text_replacements else keys.agg(F.max(F.greatest(F.length("key"), F.length(_folded(F.col("key")))))).first()[0] or 0
-
-
-def _run(text):
-    """The longest run of letters and digits in a text, beyond which `within` does not go on."""
-    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.length)), F.lit(0))
+def key_facts(lexicon: Lexicon, options: LookupOptions) -> tuple[int | None, bool]:
+    """The length of the longest key, plain or folded (None with text replacements, which can make anything of a text), and whether a key may consist only of
+    what rules leave in languages without spaces. One small job over two columns."""
+    keys = lexicon.terms.select(F.explode(F.array("expression", "reading")).alias("key"))
+    longest, bare = keys.agg(F.max(F.greatest(F.length("key"), F.length(_folded(F.col("key"))))), F.bool_or(F.col("key").rlike(f"^[{_characters(3, textproc.UNSPACED)}]+$"))).first()
+    return None if options.text_replacements else longest or 0, bool(bare)
 
 
 def by_letters(lang, options: LookupOptions):
     return F.coalesce(lang.isin(*textproc.UNSPACED), F.lit(False)) | F.lit(options.search_resolution == "letter")
 
 
-def heads(keys: DataFrame, deinflect_too: bool) -> DataFrame:
-    """(head, reach): the first two folded characters of what can be looked up, one where it has one, and the greatest length of such a key.
-
-    With de-inflection a key is reached by texts that keep less than two of its characters as well, if the others are such as rules
-    leave: their heads go on with characters that rules take away.
-    """
-    folded = keys.select("key", _folded(F.col("key")).alias("f"))
-    longest = F.greatest(F.length("f"), F.length("key")).alias("reach")
-    out = folded.select(F.left("f", F.lit(2)).alias("head"), longest)
-    if deinflect_too:
-        taken = F.array(*(F.lit(c) for c in TAKEN))
-        first = folded.where(F.col("key").rlike(f"(?s)^.[{LEFT}]*$")).select(F.left("f", F.lit(1)).alias("_c"), longest)
-        none = folded.where(F.col("key").rlike(f"^[{LEFT}]*$")).select(F.explode(taken).alias("_c"), longest)
-        for begun in (first, none):
-            begun = begun.groupBy("_c").agg(F.max("reach").alias("reach"))
-            out = out.unionByName(begun.select(F.explode(F.concat(F.array("_c"), F.transform(taken, lambda t: F.left(_folded(F.concat("_c", t)), F.lit(2))))).alias("head"), "reach"))
-    return out.groupBy("head").agg(F.max("reach").alias("reach"))
+def _lengths(keys: DataFrame) -> DataFrame:
+    """(f, reach): each key folded, and its length, the greater of both forms."""
+    return keys.select(_folded(F.col("key")).alias("f"), F.greatest(F.length("key"), F.length(_folded(F.col("key")))).alias("reach"))
 
 
 def reachable(starts: DataFrame, keys: DataFrame, options: LookupOptions) -> DataFrame:
-    """The starts (with rest) at which a key can begin, rest cut to what the longest such key reaches (see `within`).
+    """The starts (with text) with `most`: how many of its first characters a key can share with it, at most.
 
-    The heads are a table of pairs of characters, far smaller than the lexicon; two joins, no shuffle of the starts while it
-    can be broadcast. Text replacements can make anything of a text, so with them nothing is left out.
+    Keys are known by their first 1, 2 and 4 characters: a text shares with a key as much as the longest key of its first four
+    characters has, or 3, 1 or 0 of them. The tables of one and two are small, the third is at most as large as the keys and joined to what the others leave. Texts that share
+    nothing stay if rules can take them away as a whole.
     """
-    if options.text_replacements:
-        return starts
-    table = heads(keys, options.deinflect)
-    folded = _folded(F.left("rest", F.lit(2)))
-    two = table.where(F.length("head") == 2).select(F.col("head").alias("_two"), F.col("reach").alias("_reach2"))
-    one = table.where(F.length("head") == 1).select(F.col("head").alias("_one"), F.col("reach").alias("_reach1"))
-    joined = starts.join(two, F.left(folded, F.lit(2)) == F.col("_two"), "left").join(one, F.left(folded, F.lit(1)) == F.col("_one"), "left")
-    reach = F.greatest("_reach2", "_reach1")
-    return joined.where(reach.isNotNull()).withColumn("rest", within(F.col("rest"), reach, by_letters(F.col("lang"), options))).select(*starts.columns)
+    folded, lengths = _folded(F.left("text", F.lit(4))), _lengths(keys)
+    out = starts
+    for n in (1, 2, 4):
+        heads = lengths.where(F.length("f") >= n).groupBy(F.left("f", F.lit(n)).alias(f"_h{n}")).agg(F.max("reach").alias(f"_r{n}"))
+        out = out.join(heads, F.left(folded, F.lit(n)) == F.col(f"_h{n}"), "left").drop(f"_h{n}")
+        if n == 2 and not options.deinflect:
+            out = out.where("_r1 IS NOT NULL")
+    most = F.when(F.col("_r4").isNotNull(), F.col("_r4")).when(F.col("_r2").isNotNull(), F.least(F.lit(3), F.col("_r2"))).when(F.col("_r1").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    return out.withColumn("most", most).drop("_r1", "_r2", "_r4")
+
+
+def _first_word(text):
+    """A text, folded, up to the first separator after its first character; empty if there is none. Rules neither take nor leave separators, so a text
+    that goes beyond one becomes only keys that begin so too."""
+    return F.regexp_extract(_folded(text), rf"(?s)^.{_WORD}*[^\p{{L}}\p{{N}}]", 0)
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Texts over all cores: a text becomes hundreds of candidates, so few input splits would leave cores idle.
+    """Texts over all cores: a text becomes hundreds of stretches, so few input splits would leave cores idle.
 
     Only inputs of less than a split of 64 MB per core are shuffled (by the planner's estimate, no job is run for it).
     """
-    spark = texts.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = texts.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return texts.repartition(cores * 4, "query_id") if estimate < cores * (64 << 20) else texts
 
 
-def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> DataFrame:
-    """(query_id, original): the source texts in each text that have entries, from every start position."""
-    names = lexicon.enabled.select(F.col("name").alias("dictionary"), "parts_of_speech_filter")
-    content = F.exists("glossary", lambda g: g["kind"].isin("Content", "Deinflection"))
-    terms = lexicon.terms.where(content).join(names, "dictionary")
-    flags = deinflect.rule_flags(packed.unpack("rules"))
+_BEGINS, _WHITE = rf"(?<![^{substrings.WHITE}])", substrings.WHITE
+
+
+def stretches(rows: DataFrame, pattern: str) -> DataFrame:
+    """(query_id, lang, text): what group 1 of a pattern holds, wherever it matches, distinct per text. One pass over the text, looking ahead."""
+    return rows.select("query_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("text"))
+
+
+def by_words(texts: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
+    """Of texts cut by words the single words, a vocabulary, and longer stretches where the first word with its separator begins a key of several words."""
+    run = rf".{{0,{max(longest - 1, 0)}}}"
+    words = stretches(texts, rf"{_BEGINS}([^{_WHITE}]{_WORD}*)")
+    several = stretches(texts, rf"(?s){_BEGINS}(?=([^{_WHITE}]{_WORD}*[^\p{{L}}\p{{N}}]{run}{_WORD}*)).")
+    joined = _lengths(keys).select(_first_word(F.col("f")).alias("_m"), "reach").where("_m <> ''").groupBy("_m").agg(F.max("reach").alias("_reach"))
+    several = several.join(joined, _first_word(F.col("text")) == F.col("_m")).select("query_id", "lang", within(F.col("text"), F.col("_reach"), F.lit(False)).alias("text"))
+    return words.unionByName(several)
+
+
+def by_characters(texts: DataFrame, keys: DataFrame, longest: int, bare: bool, options: LookupOptions) -> DataFrame:
+    """(query_id, lang, original): of texts without spaces the substrings from every position that can become a key, see `reachable`."""
+    every = stretches(texts, rf"(?s)(?=(.{{1,{max(longest, 1)}}}[{taken(textproc.UNSPACED)}]*)).")
+    placed = reachable(every, keys, options)
+    if not options.deinflect:
+        return placed.select("query_id", "lang", F.explode(substrings.letter_substrings(F.left("text", F.col("most")))).alias("original"))
+    placed = (placed if bare else placed.where("most > 0")).withColumn("text", within(F.col("text"), F.col("most"), F.lit(True), textproc.UNSPACED)).where("text <> ''")
+    return placed.select("query_id", "lang", F.explode(deinflect.inflected_prefixes(F.col("text"), F.col("lang"), F.col("most"), bare)).alias("original"))
+
+
+def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions(), *, prune: bool = True) -> DataFrame:
+    """(query_id, original): the source texts in each text that have entries, from every start position.
+
+    Words, stretches and substrings are made distinct over all texts before anything is looked up: each is de-inflected and matched once, and
+    what was found is joined back to the texts. With text replacements, which can make anything of a text, or without prune every stretch to
+    the end of the text is looked at.
+    """
+    keyed = index(lexicon.with_options())
     # Of the lexicon only its keys are needed, with the flags they have: far fewer rows than terms.
-    keys = terms.select(F.explode(F.array("expression", "reading")).alias("key"), flags.alias("flags"), "parts_of_speech_filter").where("key <> ''").distinct()
-    longest = longest_key(keys, options)
-    # The run after the longest key is cut per start; a text's longest one bounds what is read for it.
-    width = F.length("text") if longest is None else F.lit(longest) + 1 + _run(F.col("text"))
-    starts = substrings.suffixes(spread(texts), "text", "lang", ["query_id", "lang"], width)
-    starts = reachable(starts, keys.select("key").distinct(), options)
-    queries = starts.select(F.struct("query_id", "start").alias("query_id"), "lang", F.col("rest").alias("text"))
-    found = candidates(queries, options, longest=longest).select(F.col("query_id.query_id").alias("query_id"), "original", "deinflected", "conditions")
-    hits = found.join(keys, F.col("deinflected") == F.col("key"))
-    return hits.where(deinflect.passes_pos(F.col("conditions"), F.col("flags"), F.col("parts_of_speech_filter"))).select("query_id", "original").distinct()
+    keys = cut(keyed.select("key", "key_flags", "key_pos_filter").distinct())
+    longest, bare = key_facts(lexicon, options) if prune else (None, True)
+    texts = spread(texts.select("query_id", textproc.base_language("lang").alias("lang"), "text").where("text <> ''"))
+    unspaced, names = substrings.is_unspaced("lang"), keys.select("key").distinct()
+    whole, parts = [], None
+    if longest is None:
+        whole = [stretches(texts.where(unspaced), "(?s)(?=(.+))."), stretches(texts.where(~unspaced), rf"(?s){_BEGINS}(?=([^{_WHITE}].*)).")]
+    else:
+        spaced = texts.where(~unspaced)
+        letter = rf"(?s){_BEGINS}(?=([^{_WHITE}].{{0,{longest}}}[{taken(LANGUAGES)}]*))."
+        whole = [stretches(spaced, letter) if options.search_resolution == "letter" else by_words(spaced, names, longest)]
+        parts = cut(by_characters(texts.where(unspaced), names, longest, bare, options))
+    occurring = cut(reduce(DataFrame.unionByName, whole))
+    distinct = occurring.select("lang", "text").distinct()
+    held = pieces(distinct.select(F.col("text").alias("query_id"), "lang", "text"), options, longest=longest).withColumnRenamed("query_id", "text")
+    originals = held.select("lang", "original") if parts is None else held.select("lang", "original").unionByName(parts.select("lang", "original"))
+    found = expanded(originals.distinct(), options).join(keys, F.col("deinflected") == F.col("key"))
+    matched = found.where(deinflect.passes_pos(F.col("conditions"), F.col("key_flags"), F.col("key_pos_filter"))).select(F.col("lang").alias("_lang"), F.col("original").alias("_original")).distinct()
+    own = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("original") == F.col("_original"))
+    holding = held.join(matched, own).select(F.col("lang").alias("_lang"), F.col("text").alias("_text"), "original").distinct()
+    rows = occurring.join(holding, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("text") == F.col("_text"))).select("query_id", "original")
+    return (rows if parts is None else rows.unionByName(parts.join(matched, own).select("query_id", "original"))).distinct()
 
 
 def search(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> DataFrame:
     """Segments of each text (query_id, text, lang): seg_pos, segment, matched. Texts without any entry give no row."""
     keys = search_keys(texts, lexicon, options)
-    return segment.longest_match(texts.select("query_id", "text"), keys, ["query_id"])
-
-
-def search_entries(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> DataFrame:
-    """The segments with the entries of their text in group mode; unmatched segments have none."""
-    segments = search(texts, lexicon, options)
-    langs = texts.select("query_id", "lang")
-    distinct = segments.where("matched").join(langs, "query_id").select(F.struct("segment", textproc.base_language("lang").alias("lang")).alias("query_id"), F.col("segment").alias("text"), "lang").dropDuplicates(["query_id"])
-    ranked = find_terms(distinct, lexicon, "group", options).where(F.element_at("headwords", 1).isNotNull())
-    found = ranked.select(F.col("query_id.segment").alias("segment"), F.col("query_id.lang").alias("_lang"), "term", "reading", "entry_id", "entry_rank", "score", "n_definitions", "frequencies", "pronunciations")
-    keyed = segments.join(langs.select("query_id", textproc.base_language("lang").alias("_lang")), "query_id")
-    return keyed.join(found, ["segment", "_lang"], "left").drop("_lang")
+    return segment.longest_match(spread(texts.select("query_id", "text")), keys, ["query_id"])
+
+
+def search_entries(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions()) -> tuple[DataFrame, Found]:
+    """The segments of each text, and what is found for them in group mode, once per distinct segment and language.
+
+    The segments have entry_query, which is the query_id of their entries; it is null for those without. Of entries with the same first headword and
+    definition within a segment the first is kept.
+    """
+    segments = cut(search(texts, lexicon, options))
+    langs = texts.select("query_id", textproc.base_language("lang").alias("lang"))
+    keyed = segments.join(langs, "query_id").withColumn("entry_query", F.when(F.col("matched"), F.struct("segment", "lang"))).drop("lang")
+    distinct = keyed.where("matched").select("entry_query").distinct()
+    found = find(distinct.select(F.col("entry_query").alias("query_id"), F.col("entry_query.segment").alias("text"), F.col("entry_query.lang").alias("lang")), lexicon, "group", options)
+    return keyed, replace(found, entries=segment.dedup_segments(found.entries, ["query_id"], ["entry_rank"]))
