@@ -35,8 +35,9 @@ def chain_sizes(entries: DataFrame) -> DataFrame:
 
 
 def rank_entries(entries: DataFrame, per: Sequence[str]) -> DataFrame:
-    """Adds entry_rank from 1 per query. Ranking needs only a query's own entries together."""
-    return entries.withColumn("entry_rank", F.row_number().over(Window.partitionBy(*per).orderBy(*entry_order())))
+    """Adds entry_rank from 1 per query. Ranking needs only a query's own entries together. An entry that stands in several groups is ordered by their entry_key."""
+    last = ["entry_key"] if "entry_key" in entries.columns else []
+    return entries.withColumn("entry_rank", F.row_number().over(Window.partitionBy(*per).orderBy(*entry_order(), *last)))
 
 
 def sort_headwords(headwords: Column) -> Column:
