@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +28,14 @@ class Groups:
     definitions: DataFrame
     term_tags: DataFrame
 
-    def nested(self) -> DataFrame:
-        """The entries with arrays headwords and definitions, for groups whose definitions fit a row."""
+    def nested(self, with_glossary: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The entries with arrays headwords and definitions, for groups whose definitions fit a row. with_glossary adds the glossaries to definitions."""
         heads = nest(self.headwords, "headwords", "headword_index", ("term", "reading", "primary_term", "sources"))
-        defs = nest(self.definitions, "definitions", "index", DEFINITION)
+        defs = nest(with_glossary(self.definitions), "definitions", "index", DEFINITION)
         return self.entries.join(heads, "entry_key").join(defs, "entry_key")
 
 
+#: The fields of a definition with its glossary; as rows they have import_ord and glossary_key for it, so that what is grouped and sorted stays narrow.
 DEFINITION = ("id", "dictionary", "dictionary_index", "score", "is_primary", "glossary", "definition_tags", "sequences", "headword_indices")
 
 
@@ -73,7 +74,7 @@ def group_entries(entries: DataFrame, per: Sequence[str], *, several: bool = Fal
         placed = rows.join(known, (F.col("entry_key") == F.col("_k")) & F.col("expression").eqNullSafe(F.col("_e")) & F.col("norm_reading").eqNullSafe(F.col("_n"))).drop("_k", "_e", "_n")
     else:
         placed = rows.withColumn("headword_index", F.lit(0))
-    definitions = placed.select(*per, "entry_key", "id", "dictionary", "dictionary_index", "score", "is_primary", "glossary", "definition_tags", F.array("sequence").alias("sequences"), F.array("headword_index").alias("headword_indices"), "_at", *([dedup.alias("_merged")] if dedup is not None else []))
+    definitions = placed.select(*per, "entry_key", "id", "dictionary", "dictionary_index", "score", "is_primary", "import_ord", "glossary_key", "definition_tags", F.array("sequence").alias("sequences"), F.array("headword_index").alias("headword_indices"), "_at", *([dedup.alias("_merged")] if dedup is not None else []))
     if dedup is not None:
         definitions = _deduped(definitions, per)
     definitions = definitions.withColumn("index", F.row_number().over(Window.partitionBy("entry_key").orderBy("_at")) - 1).drop("_at")
@@ -108,10 +109,10 @@ def _deduped(rows: DataFrame, per: Sequence[str]) -> DataFrame:
     """Definitions with one dictionary and glossary merged where _merged holds; the others stay apart by their id."""
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
     apart = F.when(~F.col("_merged"), F.col("id")).alias("_apart")
-    merged = rows.groupBy(*per, "entry_key", "dictionary", "glossary", apart).agg(
-        F.min_by(F.struct("id", "dictionary_index"), "_at").alias("_d"), F.max("score").alias("score"), F.bool_or("is_primary").alias("is_primary"), united("sequences"), united("headword_indices"), united("definition_tags"), F.min("_at").alias("_at")
+    merged = rows.groupBy(*per, "entry_key", "dictionary", "glossary_key", apart).agg(
+        F.min_by(F.struct("id", "import_ord", "dictionary_index"), "_at").alias("_d"), F.max("score").alias("score"), F.bool_or("is_primary").alias("is_primary"), united("sequences"), united("headword_indices"), united("definition_tags"), F.min("_at").alias("_at")
     )
-    return merged.select(*per, "entry_key", "_d.id", "dictionary", "_d.dictionary_index", "score", "is_primary", "glossary", "definition_tags", "sequences", "headword_indices", "_at")
+    return merged.select(*per, "entry_key", "_d.id", "dictionary", "_d.dictionary_index", "score", "is_primary", "_d.import_ord", "glossary_key", "definition_tags", "sequences", "headword_indices", "_at")
 
 
 def by_headword(entries: DataFrame, per: Sequence[str]) -> DataFrame:

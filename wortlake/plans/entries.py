@@ -345,5 +345,5 @@ def _(spark, root):
       FROM e GROUP BY query_id, expression, norm_reading) SELECT query_id, entry_id, coalesce(expression, '') AS "Expression", coalesce(reading, '') AS "Reading", definition AS "Meaning", '' AS "Picture" FROM d""",
 )
 def _(spark, root):
-    rows = grouped(spark, root).nested().withColumn("sentence", F.lit(""))
+    rows = grouped(spark, root).nested(pipeline.Lexicon.of(spark, root).with_glossary).withColumn("sentence", F.lit(""))
     return notes.notes(rows, {"term": "Expression", "reading": "Reading", "definition": "Meaning", "image": "Picture"}, ["query_id", "entry_id"])

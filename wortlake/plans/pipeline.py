@@ -70,12 +70,15 @@ class Lexicon:
         return self.live.join(enabled, "dictionary")
 
     def fetched(self, rows: DataFrame) -> DataFrame:
-        """Rows (with id and import_ord) with the wide columns of their term: score, tags unpacked, the content of the glossary."""
-        wide = self.ordered.select(
-            "id", "import_ord", F.coalesce("score", F.lit(0)).alias("score"), packed.unpack("definition_tags").alias("definition_tags"), packed.unpack("term_tags").alias("term_tags"), deinflect.is_content(F.col("glossary")).alias("glossary")
-        )
+        """Rows (with id and import_ord) with score, unpacked tags, and glossary_key, which is equal for glossaries of equal content (see `with_glossary`)."""
+        content = deinflect.is_content(F.col("glossary"))
+        wide = self.ordered.select("id", "import_ord", F.coalesce("score", F.lit(0)).alias("score"), packed.unpack("definition_tags").alias("definition_tags"), packed.unpack("term_tags").alias("term_tags"), F.sha2(F.to_json(content), 256).alias("glossary_key"))
         return rows.join(wide, ["id", "import_ord"])
 
+    def with_glossary(self, definitions: DataFrame) -> DataFrame:
+        """Definitions with the content of their glossary, read for them alone."""
+        return definitions.join(self.ordered.select("id", "import_ord", deinflect.is_content(F.col("glossary")).alias("glossary")), ["id", "import_ord"])
+
 
 def pieces(queries: DataFrame, options: LookupOptions, *, longest: int | None = None) -> DataFrame:
     """(query_id, lang, original): the substrings of each text by the language's way of writing (or options.search_resolution letter), of what can become
@@ -209,6 +212,7 @@ class Found:
     frequencies: DataFrame
     pronunciations: DataFrame
     tags: DataFrame
+    lexicon: Lexicon
 
     def nested(self) -> DataFrame:
         """One row per entry with arrays headwords, definitions, frequencies and pronunciations; for entries whose definitions fit a row."""
@@ -220,7 +224,7 @@ class Found:
             return rows.withColumn("owner", owner).join(tags, ["entry_key", "owner"], "left").withColumn("tags", F.coalesce("tags", none)).drop("owner")
 
         heads = modes.nest(owned(self.headwords, _owner("h", F.col("headword_index"))), "headwords", "headword_index", ("term", "reading", "primary_term", "sources", "tags"))
-        defs = modes.nest(owned(self.definitions, _owner("d", F.col("index"))), "definitions", "pos", ("index", *modes.DEFINITION, "frequency_order", "tags"))
+        defs = modes.nest(owned(self.lexicon.with_glossary(self.definitions), _owner("d", F.col("index"))), "definitions", "pos", ("index", *modes.DEFINITION, "frequency_order", "tags"))
         said = owned(self.pronunciations, _said())
         metas = {"frequencies": self.frequencies, "pronunciations": said}
         out = self.entries.join(heads, "entry_key").join(defs, "entry_key")
@@ -283,7 +287,7 @@ def enrich(groups: modes.Groups, lexicon: Lexicon, options: LookupOptions, per:
     definitions = rank.number_definitions(definitions, ["entry_key"])
     shown_rules = F.transform("inflections", lambda i: i.withField("rules", deinflect.display_rules(i["rules"])))
     ranked = rank.rank_entries(rank.chain_sizes(numbers.withColumn("inflections", shown_rules)), per)
-    return Found(ranked, groups.headwords, definitions, frequencies, said.drop("tag_names"), tags)
+    return Found(ranked, groups.headwords, definitions, frequencies, said.drop("tag_names"), tags, lexicon)
 
 
 def tagged(names: DataFrame, lexicon: Lexicon, per: list[str]) -> DataFrame:
