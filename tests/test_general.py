@@ -64,3 +64,15 @@ def test_orphans_keep_clashing_columns(spark):
     p = spark.createDataFrame([("a", 5)], "g string, k bigint")
     (got,) = references.orphans(r, p, [("g", "g")], "k", "k").collect()
     assert tuple(got) == (1, "a", "x", "y", "z", "missing")
+
+
+def test_ranges_in_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(references, "CHUNK", 7)
+    draw = random.Random(8)
+    parents = [(draw.choice(["hot"] * 9 + ["a"]), lo, draw.choice([lo + 1, lo + 3, lo + 9])) for lo in (draw.randrange(5000) for _ in range(1500))]
+    refs = [(i, draw.choice(["hot"] * 5 + ["a", "none"]), draw.randrange(-3, 5020)) for i in range(3000)]
+    p, r = spark.createDataFrame(parents, "g string, lo bigint, hi bigint"), spark.createDataFrame(refs, "i int, g string, k bigint")
+    got = {x.i: x.status for x in references.as_of_status(r, p, [("g", "g")], "k", "lo", "hi").collect()}
+    alive = {(g, k) for g, lo, hi in parents for k in range(lo, hi)}
+    first = {g: min(lo for h, lo, _ in parents if h == g) for g, _, _ in parents}
+    assert got == {i: None if (g, k) in alive else "missing" if g not in first else "not_yet" if k < first[g] else "deleted" for i, g, k in refs}

@@ -10,7 +10,8 @@ runs only if their estimated or measured size is below its threshold; else the j
 which AQE splits hot groups of references (the side that is split is the outer side, the runs are
 replicated). Runs of single keys are cut at multiples of `slot_width` and the slot joins the group as a key: so
 a list of runs is bounded by half the slot width, however many parents a group has. Runs of ranges, the lifetimes of
-one record, are not cut.
+one record, are cut into chunks of CHUNK runs in order; a group has a directory of the chunks' starts, a reference is matched
+as of its key to a chunk and then to a run in it. Both lists are searched by halving, so a reference costs the logarithm of its group's runs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from wortlake.functions.names import fresh
 MISSING, LATER, GONE = "missing", "not_yet", "deleted"
 _FOREVER = 9223372036854775807
 SLOT = 4096
+CHUNK = 4096
 
 
 def contiguous_runs(parents: DataFrame, group: Sequence[str], lo: str, hi: str | None = None) -> DataFrame:
@@ -62,16 +64,44 @@ def as_of_status(references: DataFrame, parents: DataFrame, on: Sequence[tuple[s
     if slot_width:
         group.append(slot)
         source = source.withColumn(slot, F.floor(F.col("_lo") / slot_width))
-    runs = contiguous_runs(source, group, "_lo", "_hi" if hi else None).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias(runs_of))
+    runs = contiguous_runs(source, group, "_lo", "_hi" if hi else None)
     keyed = [F.col(r) for r, _ in on] + ([F.floor(F.col(key) / slot_width)] if slot_width else [])
-    joined = references.join(runs, [k == F.col(g) for k, g in zip(keyed, group, strict=True)], "left")
-    preceding: Column = F.try_element_at(F.filter(runs_of, lambda r: r["lo"] <= F.col(key)), F.lit(-1))
+    met = [k == F.col(g) for k, g in zip(keyed, group, strict=True)]
+    listed = F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias(runs_of)
+    if slot_width:
+        joined = references.join(runs.groupBy(*group).agg(listed), met, "left")
+        began = F.lit(False)
+    else:
+        chunk, starts, at, *again = fresh([*references.columns, *group, runs_of], "_chunk", "_starts", "_at", *(f"_c{i}" for i in range(len(on))))
+        lists = runs.withColumn(chunk, F.floor((F.row_number().over(Window.partitionBy(*group).orderBy("lo")) - 1) / CHUNK)).groupBy(*group, chunk).agg(listed)
+        directory = lists.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.element_at(runs_of, 1)["lo"].alias("lo"), F.col(chunk).alias("chunk")))).alias(starts))
+        placed = references.join(directory, met, "left").withColumn(at, as_of(F.col(starts), F.col(key))["chunk"])
+        same = [F.col(g) == F.col(c) for g, c in zip(group, again, strict=True)]
+        joined = placed.join(lists.withColumnsRenamed(dict(zip(group, again, strict=True))), [*same, F.col(at) == F.col(chunk)], "left").drop(*again, at, chunk)
+        began = F.col(starts).isNotNull()
+        runs_of_any = starts
+    preceding = as_of(F.col(runs_of), F.col(key))
+    none = F.col(runs_of).isNull() & ~began
     status = (
-        F.when(F.col(runs_of).isNull() | F.col(key).isNull(), MISSING)
+        F.when(none | F.col(key).isNull(), MISSING)
         .when(preceding.isNull(), MISSING if slot_width else LATER)
         .when(F.col(key) >= preceding["hi"], MISSING if slot_width else GONE)
     )
-    return joined.withColumn("status", status).drop(*group, runs_of)
+    return joined.withColumn("status", status).drop(*group, runs_of, *([] if slot_width else [runs_of_any]))
+
+
+def as_of(sorted_runs: Column, key: Column) -> Column:
+    """The last struct of an array sorted by its field lo whose lo is not above the key, found by halving; null if there is none."""
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        below = F.get(sorted_runs, middle)["lo"] <= key
+        return F.when(s["lo"] == s["hi"], s).when(below, F.struct(middle.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (middle - 1).alias("hi")))
+
+    start = F.struct(F.lit(-1).alias("lo"), (F.size(sorted_runs) - 1).alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_runs) + F.lit(1.0))).cast("int"))
+    found = F.aggregate(steps, start, halved, lambda s: s["lo"])
+    return F.when(F.size(sorted_runs) > 0, F.get(sorted_runs, found))
 
 
 def orphans(references: DataFrame, parents: DataFrame, on: Sequence[tuple[str, str]], key: str, lo: str, hi: str | None = None, *, slot_width: int | None = SLOT) -> DataFrame:

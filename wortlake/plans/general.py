@@ -23,11 +23,14 @@ def dangling(spark: SparkSession, root: str) -> DataFrame:
     of_terms = table(spark, root, "terms").select(
         F.lit("terms").alias("src_table"), "import_ord", F.explode(names).alias("ref_name"), "imported_at", "dictionary", _micros("imported_at").alias("_at")
     )
-    of_tags = tags.where("dictionary IS NOT NULL").select(F.lit("tags").alias("src_table"), "import_ord", F.col("dictionary").alias("ref_name"), "imported_at", F.lit(0).cast("bigint").alias("_at"))
-    titles = table(spark, root, "summaries").select("title", F.lit(0).cast("bigint").alias("since"))
+    # A title has no integer of its own: its hash is the key, in slots of the leading 16 bits; an exact check of the titles follows for hashes that meet by chance.
+    of_tags = tags.where("dictionary IS NOT NULL").select(F.lit("tags").alias("src_table"), "import_ord", F.col("dictionary").alias("ref_name"), "imported_at", F.xxhash64("dictionary").alias("_at"))
+    titles = table(spark, root, "summaries").select("title", F.xxhash64("title").alias("key"))
+    matched = references.as_of_status(of_tags, titles, [], "_at", "key", slot_width=1 << 48)
+    chance = matched.where("status IS NULL").join(titles, F.col("ref_name") == F.col("title"), "left_anti").withColumn("status", F.lit(references.MISSING))
     found = [
         references.orphans(of_terms, lifetimes, [("ref_name", "name"), ("dictionary", "dictionary")], "_at", "since", "until"),
-        references.orphans(of_tags, titles, [("ref_name", "title")], "_at", "since"),
+        matched.where("status IS NOT NULL").unionByName(chance),
     ]
     columns = ["src_table", "import_ord", "ref_name", F.date_format("imported_at", "yyyy-MM").alias("period"), "status"]
     return found[0].select(*columns).unionByName(found[1].select(*columns))
