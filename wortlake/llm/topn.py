@@ -6,8 +6,9 @@ are anti-joined away before anything is shuffled, and what is left, the open ban
 band, is ranked exactly with the ties in order.
 
 Only groups that hold more than 1 / HEAVY of all rows have bands to close, so there are fewer than HEAVY
-of them, whatever the data: that bound is what lets them be broadcast. In all other groups every band
-stays open. The rank has a limit, so Spark cuts each group to N rows in every map task before the shuffle
+of them, whatever the data: that bound is what lets them be broadcast. A sketch of frequent items, made in the pass that
+finds the edges, names them, so only their rows are counted per band. In all other groups every band
+stays open, as in a heavy one that the sketch might miss: the result is the same. The rank has a limit, so Spark cuts each group to N rows in every map task before the shuffle
 (WindowGroupLimit): a hot group, or a boundary band of ties that holds a third of all rows, sends N rows
 a task and is never gathered.
 """
@@ -18,21 +19,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wortlake.functions.names import fresh
 
 BANDS = 16
-HEAVY = 10_000
+HEAVY = 1000
 
 
-def band_edges(df: DataFrame, score: str, bands: int = BANDS) -> tuple[list, int]:
-    """The inner edges of the score bands, descending, and the number of rows.
+def band_edges(df: DataFrame, score: str, group: str, bands: int = BANDS, heavy: int = HEAVY) -> tuple[list, int, list]:
+    """The inner edges of the score bands, descending, the number of rows, and the groups that may be heavy.
 
-    The edges are quantiles over all rows, fine at the top, where groups fill; at most bands - 1 values come to the driver.
+    The edges are quantiles over all rows, fine at the top, where groups fill; at most bands - 1 edges and `heavy` groups come to the driver. The
+    sketch holds every group of more than some 1 / (2 heavy) of the rows. Its groups are of an atomic type.
     """
     wanted = [1 - 2.0**-i for i in range(1, bands)]
-    edges, rows = df.agg(F.percentile_approx(score, wanted, 10_000), F.count("*")).first()
-    return sorted(set(edges or []), reverse=True), rows
+    tracked = 1 << max(10, (16 * heavy - 1).bit_length())
+    often = F.expr(f"approx_top_k(`{group}`, {heavy}, {min(tracked, 1 << 19)})")
+    edges, rows, items = df.agg(F.percentile_approx(score, wanted, 10_000), F.count("*"), often).first()
+    return sorted(set(edges or []), reverse=True), rows, [i["item"] for i in items or [] if i["item"] is not None]
 
 
 def band_of(score: str, edges: Sequence) -> Column:
@@ -69,10 +74,12 @@ def top_n(df: DataFrame, group: str, score: str, tie: Sequence[str], n: int, *,
     if n < 1:
         raise ValueError("n must be at least 1")
     rows = df.where(F.col(group).isNotNull() & F.col(score).isNotNull())
-    edges, total = band_edges(rows, score, bands)
+    edges, total, often = band_edges(rows, score, group, bands, heavy)
     band, group_key, last = fresh(df.columns, "_band", "_filled", "_last")
     banded = rows.withColumn(band, band_of(score, edges))
-    filled = filled_groups(banded.select(group, band), group, band, n, total / heavy)
+    named = df.sparkSession.createDataFrame([(g,) for g in often], StructType([StructField(group_key, df.schema[group].dataType)]))
+    few = banded.select(group, band).join(F.broadcast(named), F.col(group) == F.col(group_key), "left_semi")
+    filled = filled_groups(few, group, band, n, total / heavy)
     # Fewer than `heavy` groups hold more than total / heavy rows.
     filled = filled.toDF(group_key, last)
     closed = (F.col(group) == F.col(group_key)) & (F.col(band) > F.col(last))
