@@ -49,11 +49,18 @@ def _content(spark: SparkSession, root: str) -> DataFrame:
     return items.select("import_ord", (F.col("_pos") + 1).alias("item_pos"), "_item.plain_text", "_item.html")
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows that are read twice, computed once: a checkpoint in the cluster's shared folder, if one is set."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    """Content items whose plain_text has a leaf node on a tagged path of the path table."""
+    """Content items whose plain_text has a leaf node on a tagged path of the path table; paths too rare for the table are tagged if they have tags. Nodes and
+    table come of one parse."""
     nodes = markup.nodes_of(_content(spark, root), ["import_ord", "item_pos"], "plain_text")
-    tagged = markup.path_ratios(nodes).where("tagged").select("path")
-    return nodes.join(tagged, "path", "left_semi").select("import_ord", "item_pos").distinct()
+    nodes = _cut(nodes.groupBy("import_ord", "item_pos", "path").agg(F.count("*").alias("nodes"), F.count_if(F.col("chars") > 0).alias("leaves"), F.sum("chars").alias("chars"), F.sum("punct").alias("punct")))
+    table_of = markup.path_ratios(nodes).select("path", "tagged")
+    return nodes.join(table_of, "path", "left").where(F.coalesce("tagged", F.col("path") != "/")).select("import_ord", "item_pos").distinct()
 
 
 def _both(spark: SparkSession, root: str) -> DataFrame:
@@ -69,8 +76,8 @@ def p5_paths(spark: SparkSession, root: str) -> DataFrame:
 def p5_clean(spark: SparkSession, root: str) -> DataFrame:
     """The clean text of every plain_text and html."""
     both = _both(spark, root).where("text IS NOT NULL")
-    noise = markup.noise_paths(markup.path_ratios(markup.nodes_of(both, [], "text")))
-    return both.select("import_ord", "item_pos", "fld", markup.clean_text(F.col("text"), noise).alias("clean"))
+    content = markup.known_paths(markup.path_ratios(markup.nodes_of(both, [], "text")))
+    return both.select("import_ord", "item_pos", "fld", markup.clean_text(F.col("text"), content).alias("clean"))
 
 
 CAPACITY = 2048
