@@ -44,7 +44,11 @@ def test_long_text_is_linear(spark):
 
 
 def test_templates(spark):
-    assert textproc.java_template("$& $$ $1 $<n> \\") == "$0 \\$ $1 ${n} \\\\"
+    assert textproc.java_template("$& $$ $1 $<n> \\", 1, frozenset({"n"})) == "$0 \\$ $1 ${n} \\\\"
+    replaced = lambda pattern, template, text, fold=False: one(spark, textproc.replace_all(F.col("t"), [Replacement(pattern, template, fold)]), t=text)
+    assert replaced("(?<x>a)b", "[$<x>|$<y>]", "cab") == "c[a|$<y>]" == replaced("(?P<x>a)b", "[$<x>|$<y>]", "cab")
+    assert replaced("(a)", "<$9>", "a") == "<$9>" and replaced("(a)", "$12", "a") == "$12" and replaced("(a)", "$01", "a") == "a" and replaced("(a)", "$1\\", "a") == "a\\" and replaced("(a)", "$0", "a") == "$0"
+    assert replaced("(?<x>A)", "[$`|$'|$<x>|$2]", "bac", True) == "b[b|c|a|$2]c" and replaced("(a)" + "(b)" * 10, "$113", "a" + "b" * 10) == "b3"
     assert one(spark, textproc.replace_all(F.col("t"), [Replacement("(B)", "[$&$1$$]", True)]), t="abc") == "a[bb$]c"
     assert one(spark, textproc.expand_context("t", "b", "<$`|$&|$'|$$>"), t="abc") == "a<a|b|c|$>c"
     assert textproc.compile_groups([[Replacement("(", "x")], []]) == [] and textproc.compile_groups([], search_original=True) == [None]
@@ -194,12 +198,12 @@ def test_auto_exclude():
 
 
 INDEX = {"title": "Wörter / one", "minimumVersion": "1.2", "revision": "1", "format": 3, "sequenced": True}
-TERMS = [["gato", "gato", "n anim", "n", 5, ["cat", {"type": "structured-content", "content": "x"}], 1, "t"], ["gatos", "", "", "", 0, [["gato", ["plural"]]], 2, ""], ["go", None, None, "", -1, [], 3, None]]
+TERMS = [["gato", "gato", "n anim", "n", 5, ["cat", {"type": "structured-content", "content": ["x ", {"tag": "ul", "content": [{"tag": "li", "content": "a & b"}, {"tag": "li", "content": {"tag": "a", "href": "u", "content": "link"}}]}]}], 1, "t"], ["gatos", "", "", "", 0, [["gato", ["plural"]]], 2, ""], ["go", None, None, "", -1, [], 3, None]]
 
 
 def banks(tmp_path):
     folder, zipped = str(tmp_path / "folder"), str(tmp_path / "two.zip")
-    archive.write_folder(folder, INDEX, term_bank=TERMS, tag_bank=[["n", "partOfSpeech", 1, "noun", 0]], kanji_bank=[["犬", "ケン", "", "t", ["dog"], {"strokes": "4"}]], term_meta_bank=[["gato", "freq", 7], ["gato", "freq", {"reading": "gato", "frequency": {"value": 9, "displayValue": "9㋕"}}], ["gato", "pitch", {"reading": "gato", "pitches": [{"position": 1}]}]])
+    archive.write_folder(folder, INDEX, term_bank=TERMS, tag_bank=[["n", "partOfSpeech", 1, "noun", 0]], kanji_meta_bank=[["犬", "freq", 12]], kanji_bank=[["犬", "ケン", "", "t", ["dog"], {"strokes": "4"}]], term_meta_bank=[["gato", "freq", 7], ["gato", "freq", {"reading": "gato", "frequency": {"value": 9, "displayValue": "9㋕"}}], ["gato", "pitch", {"reading": "gato", "pitches": [{"position": 1}]}]])
     with zipfile.ZipFile(zipped, "w") as z:
         z.writestr("index.json", json.dumps(INDEX | {"title": "Two"}))
         z.writestr("term_bank_1.json", json.dumps(TERMS[:1]))
@@ -214,7 +218,9 @@ def test_import_into_store(spark, tmp_path):
         terms = {(r.dictionary, r.expression): r for r in kept.table("terms").collect()}
         assert len(terms) == 4 and terms[("Wörter / one", "gato")].score == 5 and terms[("Two", "gato")].sequence == 1
     cat = terms[("Wörter / one", "gato")].glossary
-    assert [g.kind for g in cat] == ["Content", "Content"] and cat[0].plain_text == "cat" and "structured" in cat[1].html
+    assert [g.kind for g in cat] == ["Content", "Content"] and cat[0].plain_text == "cat" and cat[0].html is None
+    assert (cat[1].plain_text, cat[1].html) == ("x\n• a & b\n• link", 'x <ul><li>a &amp; b</li><li><a href="u">link</a></li></ul>')
+    assert [(r.kanji_char, r.freq.value) for r in kept.table("kanji_meta").collect()] == [("犬", 12)] and not (tmp_path / "store" / store.STAGING / "banks").exists()
     form = terms[("Wörter / one", "gatos")].glossary[0]
     assert (form.kind, form.form_of, form.rules) == ("Deinflection", "gato", ["plural"])
     freqs = sorted((r.freq.reading or "", r.freq.value) for r in kept.table("term_meta").where("mode = 'freq'").collect())

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 # Kana blocks that correspond code point by code point.
 _KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
@@ -38,66 +42,96 @@ def base_language(lang: Column | str) -> Column:
     return F.lower(F.element_at(F.split(F.trim(F.col(lang) if isinstance(lang, str) else lang), "[-_]"), 1))
 
 
-def java_template(template: str) -> str:
-    """A replacement template ($$, $&, $n, $<name>) in Java's form. Unknown references stay as they stand."""
+# The tokens of a replacement template; the group is that of a name or of one or two digits.
+_TOKEN = r"\$(?:\$|&|`|'|(\d{1,2})|<([^>]*)>)"
+
+
+def java_pattern(item: Replacement) -> str:
+    """The pattern in Java's form: named groups may be written (?P<name>...) as well."""
+    return ("(?i)" if item.ignore_case else "") + item.pattern.replace("(?P<", "(?<")
+
+
+@cache
+def groups_of(pattern: str) -> tuple[int, frozenset[str]] | None:
+    """The number of groups of a Java pattern and their names, None if it is no pattern. Asked of the JVM that will run it, while the plan is built."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise RuntimeError("patterns are checked by the JVM of a running session")
+    try:
+        count = context._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except Exception:  # noqa: BLE001  PatternSyntaxException, as py4j hands it on
+        return None
+    return count, frozenset(re.findall(r"(?<!\\)\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern))
+
+
+def reference(digits: str | None, name: str | None, count: int, names: frozenset[str]) -> str | None:
+    """The group that a template's number or name refers to, None if there is no such group."""
+    if name is not None:
+        return name if name in names else None
+    return str(int(digits)) if 1 <= int(digits) <= count else None
+
+
+def has_context(template: str) -> bool:
+    return any(m[0] in ("$`", "$'") for m in re.finditer(_TOKEN, template))
+
+
+def java_template(template: str, count: int = 0, names: frozenset[str] = frozenset()) -> str:
+    """A replacement template ($$, $&, $n, $nn, $<name>) in Java's form, for a pattern of `count` groups. Unknown references stay as they stand."""
     out, at = [], 0
-    for m in re.finditer(r"\$(?:\$|&|\d{1,2}|<[^>]*>)", template):
-        out.append(template[at : m.start()].replace("\\", "\\\\").replace("$", "\\$"))
-        token = m.group()
-        out.append("\\$" if token == "$$" else "$0" if token == "$&" else f"${{{token[2:-1]}}}" if token[1] == "<" else token)
-        at = m.end()
-    out.append(template[at:].replace("\\", "\\\\").replace("$", "\\$"))
+    literal = lambda text: text.replace("\\", "\\\\").replace("$", "\\$")
+    for m in re.finditer(_TOKEN, template):
+        out.append(literal(template[at : m.start()]))
+        token, at = m[0], m.end()
+        if token == "$&":
+            out.append("$0")
+        elif token == "$$":
+            out.append("\\$")
+        elif (m[1] or m[2] is not None) and (found := reference(m[1], m[2], count, names)):
+            # A digit that follows a number must not be read as part of it.
+            follows = template[at : at + 1] if m[1] and template[at : at + 1].isdigit() else ""
+            out.append((f"${{{found}}}" if m[1] is None else f"${found}") + ("\\" + follows if follows else ""))
+            at += len(follows)
+        else:
+            out.append(literal(token))
+    out.append(literal(template[at:]))
     return "".join(out)
 
 
 def compile_groups(groups: Sequence[Sequence[Replacement]], *, search_original: bool = False) -> list[list[Replacement] | None]:
     """Replacement groups without invalid patterns and empty groups; None, no replacement, comes first if asked for or if any group is left."""
-    valid = []
-    for group in groups:
-        kept = []
-        for item in group:
-            try:
-                re.compile(item.pattern)
-                kept.append(item)
-            except re.error:
-                continue
-        if kept:
-            valid.append(kept)
+    valid = [kept for group in groups if (kept := [item for item in group if groups_of(java_pattern(item)) is not None])]
     return ([None] if search_original or valid else []) + valid
 
 
 def replace_all(text: Column, group: Sequence[Replacement] | None) -> Column:
-    """The group's replacements, one after the other, everywhere."""
+    """The group's replacements, one after the other, everywhere. Patterns are Java's; those whose template holds $` or $' run in `expand_context`."""
     for item in group or ():
-        text = F.regexp_replace(text, ("(?i)" if item.ignore_case else "") + item.pattern, java_template(item.replacement))
+        if has_context(item.replacement):
+            text = expand_context(text, item.pattern, item.replacement, ignore_case=item.ignore_case)
+        else:
+            pattern = java_pattern(item)
+            text = F.regexp_replace(text, pattern, java_template(item.replacement, *groups_of(pattern)))
     return text
 
 
-def expand_context(text: Column | str, pattern: str, template: str) -> Column:
-    """Replacement with the two context forms $` and $' (text before, text after the match), which the JVM lacks: a pandas UDF."""
-    compiled = re.compile(pattern)
+def expand_context(text: Column | str, pattern: str, template: str, *, ignore_case: bool = False) -> Column:
+    """Replacement with all template forms, the two of context as well ($` and $', the text before and after the match), which the JVM lacks: on Arrow batches."""
+    compiled = regex.compile(java_pattern(Replacement(pattern, template, ignore_case)).replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!"))
+    count, names = compiled.groups, frozenset(compiled.groupindex)
 
-    def one(m: re.Match) -> str:
+    def one(m) -> str:
         def token(t: re.Match) -> str:
-            s = t.group()
-            if s == "$$":
-                return "$"
-            if s == "$&":
-                return m.group()
-            if s == "$`":
-                return m.string[: m.start()]
-            if s == "$'":
-                return m.string[m.end() :]
-            n = int(s[1:])
-            return (m.group(n) or "") if n <= (m.re.groups or 0) else s
-
-        return re.sub(r"\$(?:\$|&|`|'|\d{1,2})", token, template)
-
-    @F.pandas_udf("string")
-    def expand(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else compiled.sub(one, v))
-
-    return expand(text)
+            if t[0] in ("$$", "$&", "$`", "$'"):
+                return {"$$": "$", "$&": m.group(), "$`": m.string[: m.start()], "$'": m.string[m.end() :]}[t[0]]
+            found = reference(t[1], t[2], count, names)
+            return t[0] if found is None else m.group(found if t[1] is None else int(found)) or ""
+
+        return re.sub(_TOKEN, token, template)
+
+    def expand(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else compiled.sub(one, v) for v in values.to_pylist()], pa.string())
+
+    return arrow_udf(expand, "string")(F.col(text) if isinstance(text, str) else text)
 
 
 def to_hiragana(text: Column) -> Column:

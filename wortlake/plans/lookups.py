@@ -267,17 +267,19 @@ def _(spark, root):
     return around.select("doc_id", F.col("s.text").alias("sentence"), F.col("s.offset").alias("anchor"))
 
 
-GROUPS = [[Replacement("ß", "ss"), Replacement("([aeo])ff", "$1f")], [Replacement("(", "broken"), Replacement("SH", "<$&>", ignore_case=True)]]
+GROUPS = [[Replacement("ß", "ss"), Replacement("([aeo])ff", "$1f")], [Replacement("(", "broken"), Replacement("SH", "<$&>", ignore_case=True)], [Replacement("(?<vowel>[aeiou])(l)", "$<vowel>$9-$2$<none>")], [Replacement("x", "[$`]")]]
 
 
-@query("k41_replacement_groups", r"SELECT headword_id, g, CASE g WHEN 0 THEN headword WHEN 1 THEN regexp_replace(replace(headword, 'ß', 'ss'), '([aeo])ff', '\1f', 'g') ELSE regexp_replace(headword, '(?i)SH', '<\0>', 'g') END AS text FROM headwords, (SELECT unnest([0, 1, 2]) AS g)")
+@query("k41_replacement_groups", r"""SELECT headword_id, g, CASE g WHEN 0 THEN headword WHEN 1 THEN regexp_replace(replace(headword, 'ß', 'ss'), '([aeo])ff', '\1f', 'g') WHEN 2 THEN regexp_replace(headword, '(?i)SH', '<\0>', 'g') WHEN 3 THEN regexp_replace(headword, '([aeiou])(l)', '\1$9-\2$<none>', 'g')
+  ELSE array_to_string(list_transform(range(1, length(headword) + 1), lambda i: CASE WHEN substr(headword, i, 1) = 'x' THEN '[' || left(headword, i - 1) || ']' ELSE substr(headword, i, 1) END), '') END AS text FROM headwords, (SELECT unnest([0, 1, 2, 3, 4]) AS g)""")
 def _(spark, root):
     groups = textproc.compile_groups(GROUPS)
     texts = F.array(*(F.struct(F.lit(i).alias("g"), textproc.replace_all(F.col("headword"), g).alias("text")) for i, g in enumerate(groups)))
     return table(spark, root, "headwords").select("headword_id", F.inline(texts))
 
 
-@query("k42_template_context")
+@query("k42_template_context", """SELECT headword_id, array_to_string(list_transform(range(1, length(headword) + 1), lambda i: CASE WHEN regexp_matches(substr(headword, i, 1), '[aeiouаеиоу]')
+  THEN '<' || left(headword, i - 1) || '|' || substr(headword, i, 1) || '|' || substr(headword, i + 1) || '>' ELSE substr(headword, i, 1) END), '') AS text FROM headwords""")
 def _(spark, root):
     return table(spark, root, "headwords").select("headword_id", textproc.expand_context("headword", "[aeiouаеиоу]", "<$`|$&|$'>").alias("text"))
 

@@ -94,6 +94,10 @@ class Store:
         ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(self.path(name))
         shutil.rmtree(staged, ignore_errors=True)
 
+    def discard(self, name: str) -> None:
+        """Removes what was staged under a name."""
+        shutil.rmtree(self.root / STAGING / name, ignore_errors=True)
+
     def summaries(self) -> DataFrame:
         return self.table("summaries").orderBy("import_date", "title")
 
