@@ -16,7 +16,7 @@ def test_prototype(spark):
     same = [
         ("ｂâｎｅａｕ", "bâneau"), ("chígela", "chígela"), ("сһіɡеӏа", "chigela"), ("​x­⁠y﻿", "xy"), ("a　b ", "a b"),
         ("we‐cky−kafi", "we-cky-kafi"), ("ﬂunﬁsh", "flunfish"), ("ﾊﾞｶﾞｰ", "バガー"), ("⽊短", "木短"), ("へべぺ", "ヘベペ"), ("夕ニ口力卜工八一", "タ二ロカトエハー"),
-        ("тёл", "тёл"), ("神", "神"), ("び︎わ", "びわ"), ("ў", "y̆"),
+        ("тёл", "тёл"), ("神", "神"), ("び︎わ", "びわ"), ("ў", "y̆"), ("№ 5", "No 5"), ("㈱", "(株)"), ("ﻻ", "لا"), ("ᾳ", "ᾳ"), ("ᎪᏴᏟ", "ABC"), ("ꓓꓳꓖ", "DOG"), ("ꜱᴏᴜ", "sou"), ("ﬃ", "ffi"),
     ]
     got = looks(spark, [v for pair in same for v in pair])
     for i, (a, b) in enumerate(same):

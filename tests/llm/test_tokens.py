@@ -98,3 +98,9 @@ def test_pieces(spark):
     assert cut and sum(t.endswith((".", "\n")) for t in cut) / len(cut) > 0.9
     with pytest.raises(ValueError):
         split.split_texts(df, "i", "text", None, 60, 55)
+
+
+def test_an_early_boundary_is_better_than_none(spark):
+    text = "あ" * 20 + "。" + "\U00020000" * 200
+    rows = split.split_texts(spark.createDataFrame([(1, text)], "i int, text string"), "i", "text", encode.shared(spark), 100, 10).orderBy("piece").collect()
+    assert rows[0].text.endswith("。") and len(rows) > 2

@@ -10,6 +10,7 @@ The mapping is one `translate` and a few `replace` expressions, all in the JVM.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
 from functools import cache
@@ -26,6 +27,11 @@ SAME_SHAPE = {
     "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іɩι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ",
     "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝѡ", "x": "хχ", "y": "уγү", "ß": "βϐ",
 }
+# The same for Cherokee, Coptic, Lisu and small capitals (drawn like the small letter of their shape).
+SAME_SHAPE_MORE = {
+    "A": "ᎪⲀꓮ", "B": "ᏴⲂꓐ", "C": "ᏟⲤꓚ", "D": "Ꭰꓓ", "E": "Ꭼꓰ", "F": "ꓝ", "G": "Ꮐꓖ", "H": "ᎻⲎꓧ", "I": "Ⲓꓲ", "J": "Ꭻꓙ", "K": "ᏦⲔꓗ", "L": "ᏞꓡⳐ", "M": "ᎷⲘꓟ", "N": "Ⲛꓠ", "O": "Ⲟꓳ", "P": "ᏢⲢꓑ",
+    "R": "Ꮢꓣ", "S": "Ꮪꓢ", "T": "ᎢⲦꓔ", "U": "ꓴ", "V": "Ꮩꓦ", "W": "Ꮃꓪ", "X": "Ⲭꓫ", "Y": "Ⲩꓬ", "Z": "Ꮓꓜ", "c": "ᴄⲥ", "o": "ᴏⲟ", "p": "ⲣ", "s": "ꜱ", "u": "ᴜ", "v": "ᴠ", "w": "ᴡ", "x": "ⲭ", "z": "ᴢ", "i": "Ꭵ",
+}
 # Kana and ideographs of one shape, prototype: the others.
 SAME_SHAPE_CJK = {"ヘ": "へ", "ベ": "べ", "ペ": "ぺ", "ー": "一", "ニ": "二", "ハ": "八", "タ": "夕", "ロ": "口囗", "カ": "力", "ト": "卜", "エ": "工", "ノ": "丿", "ム": "厶"}
 #: Compatibility forms that are drawn like their decomposition; the other kinds (circled, raised...) look different.
@@ -48,7 +54,7 @@ def _invisible(char: str) -> bool:
 @cache
 def look_table() -> dict[str, str]:
     """Character to prototype, for all that change; made from Unicode's properties and the fixed values above."""
-    shapes = {c: p for table in (SAME_SHAPE, SAME_SHAPE_CJK) for p, chars in table.items() for c in chars}
+    shapes = {c: p for table in (SAME_SHAPE, SAME_SHAPE_MORE, SAME_SHAPE_CJK) for p, chars in table.items() for c in chars}
     table: dict[str, str] = {}
     for char in map(chr, [*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)]):
         kind, _, parts = unicodedata.decomposition(char).rpartition(">")
@@ -78,21 +84,17 @@ def prototype(value: Column | str) -> Column:
     """
     table = look_table()
     text = F.col(value) if isinstance(value, str) else value
-    several = {c: p for c, p in table.items() if len(p) > 1 and _letters(ord(c))}
-    spelled = text
-    for char, letters in several.items():
-        spelled = F.replace(spelled, F.lit(char), F.lit(letters))
+    # Characters that stand for several (ligatures, signs like the one for number, composed Greek) are rare: only texts that hold one are spelled out character by character.
+    several = {c: p for c, p in table.items() if len(p) > 1}
+    spelling = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one literal, folded to a map
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelling, c), c)), "")
     single = [(c, p) for c, p in table.items() if len(p) == 1]
     gone = [c for c, p in table.items() if not p]
+    # What a ligature stands for may have a look of its own, so it is spelled out first.
     out = F.when(text.rlike("[" + "".join(several) + "]"), spelled).otherwise(text)
     return F.trim(F.translate(out, "".join(c for c, _ in single) + "".join(gone), "".join(p for _, p in single)))
 
 
-def _letters(point: int) -> bool:
-    """Blocks whose characters may stand for several: ligatures, digraphs, numerals and accented letters of European scripts."""
-    return point < 0x530 or 0x2025 <= point <= 0x2026 or 0x2160 <= point <= 0x2188 or 0xFB00 <= point <= 0xFB17
-
-
 def with_prototype(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.collate(prototype(value), COLLATION))
 

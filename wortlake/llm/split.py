@@ -3,7 +3,7 @@
 Method: the token offsets are prefix sums of the token sizes; the natural boundaries of the text are sorted
 arrays of token indexes, one per level (paragraph, sentence or line, word). A piece ends at the last
 boundary within the limit, found by binary search, on the highest level that has one in the second half of the piece (words:
-anywhere beyond the overlap), or else by a hard cut at the limit. The next piece starts an overlap back.
+anywhere beyond the overlap), then on any level that has one beyond the overlap, or else by a hard cut at the limit. The next piece starts an overlap back.
 No cut, hard or not, divides a character.
 """
 
@@ -42,10 +42,10 @@ def cuts(text: str, ids: np.ndarray, sizes: np.ndarray, limit: int, overlap: int
         return borders[found[at[np.minimum(found, len(at) - 1)] == wanted]]
 
     levels = [of(p) for p in _LEVELS]
-    out, start, n = [], 0, len(ids)
+    out, start, n, half = [], 0, len(ids), max(overlap, limit // 2)
     while n - start > limit:
         end = 0
-        for level, least in zip(levels, (max(overlap, limit // 2), max(overlap, limit // 2), overlap), strict=True):
+        for level, least in [*zip(levels, (half, half, overlap), strict=True), *((level, overlap) for level in levels[:2])]:
             k = int(np.searchsorted(level, start + limit, "right")) - 1
             if k >= 0 and level[k] > start + least:
                 end = int(level[k])

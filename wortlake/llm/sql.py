@@ -1,15 +1,16 @@
 """SQL for the queries of this subpackage, where SQL can express them."""
 
-from wortlake.llm.lookalike import _letters, look_table
+from wortlake.llm.lookalike import look_table
 
 
 def _look(value: str) -> str:
     """The prototype of a value in DuckDB's SQL: normal form C stands for the collation's equality of composed and decomposed forms."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = look_table()
-    for char, letters in table.items():
-        if len(letters) > 1 and _letters(ord(char)):
-            value = f"replace({value}, {quote(char)}, {quote(letters)})"
+    several = {c: p for c, p in table.items() if len(p) > 1}
+    listed = lambda values: "[" + ", ".join(map(quote, values)) + "]"
+    spelled = f"array_to_string(list_transform(string_split({value}, ''), lambda c: coalesce(list_extract({listed(several.values())}, list_position({listed(several)}, c)), c)), '')"
+    value = f"CASE WHEN regexp_matches({value}, {quote('[' + ''.join(several) + ']')}) THEN {spelled} ELSE {value} END"
     single = [(c, p) for c, p in table.items() if len(p) == 1]
     gone = [c for c, p in table.items() if not p and c != "\0"]
     source, target = "".join(c for c, _ in single) + "".join(gone), "".join(p for _, p in single)
