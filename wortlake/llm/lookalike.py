@@ -91,7 +91,8 @@ def prototype(value: Column | str) -> Column:
     single = [(c, p) for c, p in table.items() if len(p) == 1]
     gone = [c for c, p in table.items() if not p]
     # What a ligature stands for may have a look of its own, so it is spelled out first.
-    out = F.when(text.rlike("[" + "".join(several) + "]"), spelled).otherwise(text)
+    # translate looks characters up in a hash table; a pattern of all of them would try them one by one.
+    out = F.when(F.translate(text, "".join(several), "") != text, spelled).otherwise(text)
     return F.trim(F.translate(out, "".join(c for c, _ in single) + "".join(gone), "".join(p for _, p in single)))
 
 
