@@ -317,7 +317,7 @@ def find(queries: DataFrame, lexicon: Lexicon, mode: str = "group", options: Loo
         lexicon, options = with_hidden_main(lexicon, options)
     per = ["query_id"]
     live = lexicon.with_options()
-    longest, _ = key_facts(lexicon, options)
+    longest = KeyFacts.of(lexicon, options).longest
     found = as_entries(matches(candidates(queries, options, longest=longest), index(live)), options.primary_reading)
     if mode == "merge":
         main = options.main_dictionary or lexicon.enabled.orderBy("dictionary_index").first()["name"]
@@ -384,12 +384,32 @@ def within(text, longest, letters, languages: Sequence[str] = LANGUAGES):
     return F.concat(F.left(text, longest), run)
 
 
-def key_facts(lexicon: Lexicon, options: LookupOptions) -> tuple[int | None, bool]:
-    """The length of the longest key, plain or folded (None with text replacements, which can make anything of a text), and whether a key may consist only of
-    what rules leave in languages without spaces. One small job over two columns."""
-    keys = lexicon.terms.select(F.explode(F.array("expression", "reading")).alias("key"))
-    longest, bare = keys.agg(F.max(F.greatest(F.length("key"), F.length(_folded(F.col("key"))))), F.bool_or(F.col("key").rlike(f"^[{_characters(3, textproc.UNSPACED)}]+$"))).first()
-    return None if options.text_replacements else longest or 0, bool(bare)
+@dataclass(frozen=True)
+class KeyFacts:
+    """What is known of the keys of a lexicon before a plan is made: the length of the longest, plain or folded (None with text replacements, which can make
+    anything of a text), whether a key may consist only of what rules leave in languages without spaces, and whether tables of them may be broadcast."""
+
+    longest: int | None = None
+    bare: bool = True
+    small: bool = False
+
+    @classmethod
+    def of(cls, lexicon: Lexicon, options: LookupOptions) -> KeyFacts:
+        """One small job over two columns."""
+        keys = lexicon.terms.select(F.explode(F.array("expression", "reading")).alias("key"))
+        longest = F.max(F.greatest(F.length("key"), F.length(_folded(F.col("key")))))
+        longest, bare, size = keys.agg(longest, F.bool_or(F.col("key").rlike(f"^[{_characters(3, textproc.UNSPACED)}]+$")), F.approx_count_distinct("key") * (F.avg(F.octet_length("key")) + ROW)).first()
+        return cls(None if options.text_replacements else longest or 0, bool(bare), (size or 0) < BROADCAST)
+
+
+#: The bytes up to which a table of keys is broadcast, and what a row takes beside its key. Beyond, both sides are shuffled: what texts are exploded to must never be
+#: broadcast, though the planner takes it for as small as the texts.
+BROADCAST, ROW = 16 << 20, 64
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on, small: bool, how: str = "inner") -> DataFrame:
+    """Rows made of texts joined to a table of keys, which is broadcast if its size was found to be small."""
+    return rows.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 
 def by_letters(lang, options: LookupOptions):
@@ -401,7 +421,7 @@ def _lengths(keys: DataFrame) -> DataFrame:
     return keys.select(_folded(F.col("key")).alias("f"), F.greatest(F.length("key"), F.length(_folded(F.col("key")))).alias("reach"))
 
 
-def reachable(starts: DataFrame, keys: DataFrame, options: LookupOptions) -> DataFrame:
+def reachable(starts: DataFrame, keys: DataFrame, options: LookupOptions, small: bool = False) -> DataFrame:
     """The starts (with text) with `most`: how many of its first characters a key can share with it, at most.
 
     Keys are known by their first 1, 2 and 4 characters: a text shares with a key as much as the longest key of its first four
@@ -412,7 +432,7 @@ def reachable(starts: DataFrame, keys: DataFrame, options: LookupOptions) -> Dat
     out = starts
     for n in (1, 2, 4):
         heads = lengths.where(F.length("f") >= n).groupBy(F.left("f", F.lit(n)).alias(f"_h{n}")).agg(F.max("reach").alias(f"_r{n}"))
-        out = out.join(heads, F.left(folded, F.lit(n)) == F.col(f"_h{n}"), "left").drop(f"_h{n}")
+        out = looked_up(out, heads, F.left(folded, F.lit(n)) == F.col(f"_h{n}"), small, "left").drop(f"_h{n}")
         if n == 2 and not options.deinflect:
             out = out.where("_r1 IS NOT NULL")
     most = F.when(F.col("_r4").isNotNull(), F.col("_r4")).when(F.col("_r2").isNotNull(), F.least(F.lit(3), F.col("_r2"))).when(F.col("_r1").isNotNull(), F.lit(1)).otherwise(F.lit(0))
@@ -443,24 +463,24 @@ def stretches(rows: DataFrame, pattern: str) -> DataFrame:
     return rows.select("query_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("text"))
 
 
-def by_words(texts: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
+def by_words(texts: DataFrame, keys: DataFrame, facts: KeyFacts) -> DataFrame:
     """Of texts cut by words the single words, a vocabulary, and longer stretches where the first word with its separator begins a key of several words."""
-    run = rf".{{0,{max(longest - 1, 0)}}}"
+    run = rf".{{0,{max(facts.longest - 1, 0)}}}"
     words = stretches(texts, rf"{_BEGINS}([^{_WHITE}]{_WORD}*)")
     several = stretches(texts, rf"(?s){_BEGINS}(?=([^{_WHITE}]{_WORD}*[^\p{{L}}\p{{N}}]{run}{_WORD}*)).")
     joined = _lengths(keys).select(_first_word(F.col("f")).alias("_m"), "reach").where("_m <> ''").groupBy("_m").agg(F.max("reach").alias("_reach"))
-    several = several.join(joined, _first_word(F.col("text")) == F.col("_m")).select("query_id", "lang", within(F.col("text"), F.col("_reach"), F.lit(False)).alias("text"))
+    several = looked_up(several, joined, _first_word(F.col("text")) == F.col("_m"), facts.small).select("query_id", "lang", within(F.col("text"), F.col("_reach"), F.lit(False)).alias("text"))
     return words.unionByName(several)
 
 
-def by_characters(texts: DataFrame, keys: DataFrame, longest: int, bare: bool, options: LookupOptions) -> DataFrame:
+def by_characters(texts: DataFrame, keys: DataFrame, facts: KeyFacts, options: LookupOptions) -> DataFrame:
     """(query_id, lang, original): of texts without spaces the substrings from every position that can become a key, see `reachable`."""
-    every = stretches(texts, rf"(?s)(?=(.{{1,{max(longest, 1)}}}[{taken(textproc.UNSPACED)}]*)).")
-    placed = reachable(every, keys, options)
+    every = stretches(texts, rf"(?s)(?=(.{{1,{max(facts.longest, 1)}}}[{taken(textproc.UNSPACED)}]*)).")
+    placed = reachable(every, keys, options, facts.small)
     if not options.deinflect:
         return placed.select("query_id", "lang", F.explode(substrings.letter_substrings(F.left("text", F.col("most")))).alias("original"))
-    placed = (placed if bare else placed.where("most > 0")).withColumn("text", within(F.col("text"), F.col("most"), F.lit(True), textproc.UNSPACED)).where("text <> ''")
-    return placed.select("query_id", "lang", F.explode(deinflect.inflected_prefixes(F.col("text"), F.col("lang"), F.col("most"), bare)).alias("original"))
+    placed = (placed if facts.bare else placed.where("most > 0")).withColumn("text", within(F.col("text"), F.col("most"), F.lit(True), textproc.UNSPACED)).where("text <> ''")
+    return placed.select("query_id", "lang", F.explode(deinflect.inflected_prefixes(F.col("text"), F.col("lang"), F.col("most"), facts.bare)).alias("original"))
 
 
 def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = LookupOptions(), *, prune: bool = True) -> DataFrame:
@@ -473,7 +493,8 @@ def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = Loo
     keyed = index(lexicon.with_options())
     # Of the lexicon only its keys are needed, with the flags they have: far fewer rows than terms.
     keys = cut(keyed.select("key", "key_flags", "key_pos_filter").distinct())
-    longest, bare = key_facts(lexicon, options) if prune else (None, True)
+    facts = KeyFacts.of(lexicon, options) if prune else KeyFacts()
+    longest = facts.longest
     texts = spread(texts.select("query_id", textproc.base_language("lang").alias("lang"), "text").where("text <> ''"))
     unspaced, names = substrings.is_unspaced("lang"), keys.select("key").distinct()
     whole, parts = [], None
@@ -482,13 +503,14 @@ def search_keys(texts: DataFrame, lexicon: Lexicon, options: LookupOptions = Loo
     else:
         spaced = texts.where(~unspaced)
         letter = rf"(?s){_BEGINS}(?=([^{_WHITE}].{{0,{longest}}}[{taken(LANGUAGES)}]*))."
-        whole = [stretches(spaced, letter) if options.search_resolution == "letter" else by_words(spaced, names, longest)]
-        parts = cut(by_characters(texts.where(unspaced), names, longest, bare, options))
+        whole = [stretches(spaced, letter) if options.search_resolution == "letter" else by_words(spaced, names, facts)]
+        parts = cut(by_characters(texts.where(unspaced), names, facts, options))
     occurring = cut(reduce(DataFrame.unionByName, whole))
     distinct = occurring.select("lang", "text").distinct()
     held = pieces(distinct.select(F.col("text").alias("query_id"), "lang", "text"), options, longest=longest).withColumnRenamed("query_id", "text")
     originals = held.select("lang", "original") if parts is None else held.select("lang", "original").unionByName(parts.select("lang", "original"))
-    found = expanded(originals.distinct(), options).join(keys, F.col("deinflected") == F.col("key"))
+    # A key stands here once for each of its flags, so the rows themselves are counted.
+    found = looked_up(expanded(originals.distinct(), options), keys, F.col("deinflected") == F.col("key"), facts.small and keys.count() * 2 * ROW < BROADCAST)
     matched = found.where(deinflect.passes_pos(F.col("conditions"), F.col("key_flags"), F.col("key_pos_filter"))).select(F.col("lang").alias("_lang"), F.col("original").alias("_original")).distinct()
     own = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("original") == F.col("_original"))
     holding = held.join(matched, own).select(F.col("lang").alias("_lang"), F.col("text").alias("_text"), "original").distinct()
