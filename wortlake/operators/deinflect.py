@@ -275,6 +275,10 @@ def inflected_prefixes(text: Column, lang: Column, most: Column, bare: bool, rul
     return arrow_udf(found, "array<string>")(text, lang, most)
 
 
+#: What is read of a glossary to know whose form a term is.
+FORMS = "array<struct<kind:string,form_of:string,rules:array<string>>>"
+
+
 def passes_pos(conditions: Column, flags: Column, pos_filter: Column) -> Column:
     """The part-of-speech filter of a dictionary: candidates without conditions pass, others must share a bit with the entry."""
     return ~F.coalesce(pos_filter, F.lit(False)) | (conditions == 0) | (conditions.bitwiseAND(flags) != 0)

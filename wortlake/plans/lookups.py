@@ -366,17 +366,15 @@ def _(spark, root):
 
 @query(
     "k52_dictionary_hop",
-    """WITH forms AS (SELECT import_ord, g.form_of AS form_of, array_to_string(coalesce(g.rules, []), '+') AS rules FROM (SELECT import_ord, unnest(glossary) AS g FROM terms) WHERE g.kind = 'Deinflection' AND g.form_of <> '')
-    SELECT f.import_ord, f.form_of, f.rules, count(*) AS n_reached FROM forms f JOIN terms t ON t.expression = f.form_of GROUP BY ALL""",
+    """WITH keyed AS (SELECT import_ord, expression AS key FROM terms WHERE expression <> '' UNION SELECT import_ord, reading FROM terms WHERE reading <> ''),
+    said AS (SELECT DISTINCT k.key, g.form_of AS form_of, array_to_string(coalesce(g.rules, []), '+') AS rules FROM (SELECT import_ord, unnest(glossary) AS g FROM terms) f JOIN keyed k ON k.import_ord = f.import_ord WHERE g.kind = 'Deinflection' AND g.form_of <> '')
+    SELECT s.key, s.rules, count(*) AS n_reached FROM said s JOIN keyed k ON k.key = s.form_of GROUP BY s.key, s.rules""",
 )
 def _(spark, root):
-    terms = table(spark, root, "terms")
-    forms = terms.select("import_ord", F.explode(F.filter("glossary", lambda g: (g["kind"] == "Deinflection") & (g["form_of"] != ""))).alias("g"))
-    forms = forms.select("import_ord", F.col("g.form_of").alias("form_of"), F.array_join(F.coalesce("g.rules", F.array().cast("array<string>")), "+").alias("rules"))
-    # The targets are counted per expression before the join: a hot expression is one row.
-    targets = terms.groupBy(F.col("expression").alias("_e")).agg(F.count("*").alias("_n"))
-    joined = forms.join(targets, F.col("form_of") == F.col("_e"))
-    return joined.groupBy("import_ord", "form_of", "rules").agg(F.sum("_n").alias("n_reached"))
+    """The rows that each key reaches by what a glossary says it is a form of."""
+    terms = table(spark, root, "terms").select("import_ord", "expression", "reading", F.arrays_zip("glossary.kind", "glossary.form_of", "glossary.rules").cast(deinflect.FORMS).alias("forms"))
+    keyed = deinflect.keyed_lexicon(terms.withColumns({"flags": F.lit(0).cast("bigint"), "parts_of_speech_filter": F.lit(False), "use_deinflections": F.lit(True)}))
+    return keyed.where("hop IS NOT NULL").groupBy("key", F.array_join("hop", "+").alias("rules")).agg(F.count("*").alias("n_reached"))
 
 
 @query("k53_only_content", "SELECT import_ord, len(list_filter(glossary, lambda g: g.kind = 'Content')) AS n_content FROM terms WHERE len(list_filter(glossary, lambda g: g.kind = 'Content')) > 0")

@@ -21,7 +21,6 @@ from wortlake.sources.store import last_written
 from wortlake.sources.tables import table
 
 LANGUAGES = sorted({*textproc.PREPROCESSORS, *(r[1] for r in deinflect.RULES)} - {""})
-FORMS = "array<struct<kind:string,form_of:string,rules:array<string>>>"
 
 
 @dataclass(frozen=True)
@@ -60,7 +59,7 @@ class Lexicon:
         kinds = F.col("glossary.kind")
         rows = self.ordered.select(
             "id", "import_ord", "expression", "reading", "sequence", "dictionary", "rules", F.coalesce(F.array_contains(kinds, "Content"), F.lit(False)).alias("has_content"),
-            F.when(F.array_contains(kinds, "Deinflection"), F.arrays_zip(kinds, F.col("glossary.form_of"), F.col("glossary.rules")).cast(FORMS)).alias("forms"),
+            F.when(F.array_contains(kinds, "Deinflection"), F.arrays_zip(kinds, F.col("glossary.form_of"), F.col("glossary.rules")).cast(deinflect.FORMS)).alias("forms"),
         )
         return rows if self.current or "import_ord" not in self.terms.columns else last_written(rows, ["id"], ["import_ord"])
 

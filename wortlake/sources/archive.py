@@ -10,6 +10,7 @@ import html
 import json
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pyarrow as pa
@@ -192,8 +193,9 @@ def import_dictionaries(spark: SparkSession, paths: list[str], store: Store) ->
     staged = str(store.root / STAGING / "banks")
     parsed(files(spark, paths)).write.mode("overwrite").parquet(staged)
     tables = read_tables(spark.read.parquet(staged))
-    for name, rows in tables.items():
-        store.write(name, rows)
+    # Small tables leave cores idle, so all are written at once.
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda item: store.write(*item), tables.items()))
     titles = [r.title for r in tables["summaries"].select("title").collect()]  # one per archive
     store.discard("banks")
     options = [DictionaryOptions(t) for t in titles]
