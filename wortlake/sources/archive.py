@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from wortlake.options import DictionaryOptions, ImportFailed
-from wortlake.sources.store import STAGING, Store
+from wortlake.sources.store import KEYS, STAGING, Store
 
 _FILES = "archive string, file string, body string"
 # Elements of structured content that begin a line, and the attributes that are kept.
@@ -194,9 +194,11 @@ def import_dictionaries(spark: SparkSession, paths: list[str], store: Store) ->
     parsed(files(spark, paths)).write.mode("overwrite").parquet(staged)
     tables = read_tables(spark.read.parquet(staged))
     # Small tables leave cores idle, so all are written at once.
-    with ThreadPoolExecutor(len(tables)) as pool:
-        list(pool.map(lambda item: store.write(*item), tables.items()))
     titles = [r.title for r in tables["summaries"].select("title").collect()]  # one per archive
+    # Ids are made of dictionary, file and place, so they are unique if the titles are.
+    unique = {name for name in tables if len(set(titles)) == len(titles) and KEYS[name] == ["id"]}
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda item: store.write(*item, unique=item[0] in unique), tables.items()))
     store.discard("banks")
     options = [DictionaryOptions(t) for t in titles]
     settings = store.settings()

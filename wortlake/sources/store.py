@@ -78,11 +78,14 @@ class Store:
         for name in filter(self.has, TABLES):
             self.table(name).createOrReplaceTempView(name)
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """Upserts rows: the dictionaries among them are merged with what the store has of them and their partitions replaced."""
+    def write(self, name: str, rows: DataFrame, *, unique: bool = False) -> None:
+        """Upserts rows: the dictionaries among them are merged with what the store has of them and their partitions replaced.
+
+        unique says that no key occurs twice among the rows, so a new table is written without a shuffle.
+        """
         column = "title" if name == "summaries" else "dictionary"
         if not self.has(name):
-            last = last_written(rows, KEYS[name], [o for o in ("import_ord",) if o in rows.columns] or KEYS[name])
+            last = rows if unique else last_written(rows, KEYS[name], [o for o in ("import_ord",) if o in rows.columns] or KEYS[name])
             last.write.partitionBy(column).parquet(self.path(name))
             return
         touched = rows.select(column).distinct()
