@@ -1,8 +1,11 @@
+import itertools
 import random
+from collections import Counter
 
 import pytest
 
 from wortlake.llm import markup
+from wortlake.llm.queries import QUERIES
 
 MARKED = [
     "<b>x</b> y", "<i>open", "stray</p>", 'cut <span data-x="a>b" class=', "a &amp; b", "&#x72;iver", "&amp;quot;x&amp;quot;", "&lt;b&gt;x&lt;/b&gt;", "x <!-- c --> y",
@@ -111,3 +114,42 @@ def test_clean_of_a_labelled_set(spark):
     gone = [(p not in got[i], p) for i, (_, _, drop) in enumerate(LABELLED) for p in drop]
     assert sum(ok for ok, _ in kept) / len(kept) >= 0.95, kept
     assert sum(ok for ok, _ in gone) / len(gone) >= 0.95, gone
+
+
+def _many_paths() -> list[str]:
+    """Texts with more than 20,000 tag paths. /x/x is noise; the last text is long prose on /x/x/x, as rare a path as any."""
+    sentence = "This is a sentence of prose, long enough to count; it has commas."
+    tags = sorted((markup.BLOCKS | markup.INLINE) - {"p", "tr", "hr", "html"})[:28]
+    texts = [f"<{a}>{sentence}<{b}>{sentence}<{c}>{sentence}" for a, b, c in itertools.product(tags, repeat=3)]
+    return texts + ["<x><x>q"] * 400 + ["<x><x><x>" + " ".join([sentence] * 300)]
+
+
+def test_every_path_has_a_ratio(spark, tmp_path):
+    texts = _many_paths()
+    items = spark.createDataFrame([(i, [("Content", t, None)]) for i, t in enumerate(texts)], "import_ord bigint, glossary array<struct<kind:string,plain_text:string,html:string>>")
+    items.write.parquet(f"{tmp_path}/terms.parquet")
+    want: dict[str, list[int]] = {}
+    for text in texts:
+        for path, chars, punct in markup._stat(markup.parse(text)):
+            sums = want.setdefault(path, [0, 0, 0, 0])
+            sums[:] = [a + b for a, b in zip(sums, (1, chars > 0, chars, punct), strict=True)]
+    rows = QUERIES["p5_paths"](spark, str(tmp_path)).collect()
+    assert len(want) > 20_000 and {r.path: [r.nodes, r.leaves, r.chars, r.punct] for r in rows} == want
+    content = {r.path: r.content for r in rows}
+    assert not content["/x/x"] and content["/x/x/x"]
+    got = {r.import_ord: r.clean for r in QUERIES["p5_clean"](spark, str(tmp_path)).collect()}
+    assert got == {i: markup.clean(markup.parse(t), content) for i, t in enumerate(texts)} and got[len(texts) - 1].startswith("This is") and not got[len(texts) - 2]
+    assert QUERIES["p5_found"](spark, str(tmp_path)).count() == len(texts)
+
+
+def test_clean_rows(spark):
+    sentence = "This is a sentence of prose, long enough to count; it has commas."
+    rows = [(i, f"<div>{sentence}</div><script>var q={i};</script>") for i in range(50)]
+    rows += [(7, "<div>again</div><!-- x -->"), (7, None), (99, "plain"), (100, ""), (101, "a < b"), (None, "<script>q</script>x"), (None, "<b>y</b>")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    nodes = markup.path_sums(markup.nodes_of(df, ["i"], "t"), "i")
+    ratios = markup.path_ratios(nodes)
+    want = df.select("i", "t", markup.clean_text(df.t, markup.known_paths(ratios)).alias("clean"))
+    made = markup.clean_rows(df, ["i"], "t", nodes, ratios)
+    assert made.columns == want.columns and Counter(made.collect()) == Counter(want.collect())
+    assert markup.clean_rows(df.limit(0), ["i"], "t", nodes.limit(0), markup.path_ratios(nodes.limit(0))).count() == 0

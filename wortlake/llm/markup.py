@@ -7,8 +7,8 @@ fused, and held against a threshold: paths below it are noise, like scripts, com
 ruby brackets. Headings, lists, code, formulas and inline marks are structure and stay whatever their ratio.
 
 The parser runs on Arrow batches, and only for texts that hold a character or line start that can be markup.
-Paths are whole, from the root to the leaf, with inline tags; tag names outside TAGS count as one name. Only the PATHS paths with the most
-leaves have a ratio of their own, which bounds the table; the others take that of the nearest path above them that has one.
+Paths are whole, from the root to the leaf, with inline tags; tag names outside TAGS count as one name. Every path has a ratio of its own: the
+table of paths is a DataFrame of any length, which meets the texts by joins (`clean_rows`).
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-PATHS = 20_000
 NESTED = 60  # deeper marks are text; open tags beyond it are not in paths
 SMOOTHING = 20.0  # leaves' worth of the parent's ratio
 PUNCTUATION_BASE = 0.25  # the weight of a leaf without punctuation
@@ -394,20 +395,24 @@ def nodes_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.where(F.col(text).rlike(SUSPECT)).select(*keys, F.inline(tag_paths(F.col(text))))
 
 
-def path_ratios(nodes: DataFrame, paths: int = PATHS) -> DataFrame:
-    """Per tag path of nodes (or of sums of nodes, with columns nodes and leaves): nodes, chars, punct, the fused and smoothed `ratio`, and whether it is `tagged` and `content`.
+def path_sums(nodes: DataFrame, *keys: str) -> DataFrame:
+    """Nodes, or sums of nodes, summed per path (and keys): nodes, leaves (nodes with text), chars, punct. Nodes of plain text without a character are left out."""
+    seen = nodes.where("chars > 0 OR path <> '/'").groupBy(*keys, "path")
+    counted = ("nodes", "leaves") if "nodes" in nodes.columns else ()
+    return seen.agg(*(F.sum(c).alias(c) for c in (*counted, "chars", "punct")), *(() if counted else (F.count("*").alias("nodes"), F.count_if(F.col("chars") > 0).alias("leaves"))))
+
+
+def path_ratios(nodes: DataFrame) -> DataFrame:
+    """Per tag path of nodes (or of `path_sums`): nodes, chars, punct, the fused and smoothed `ratio`, and whether it is `tagged` and `content`.
 
     ratio = smoothed text length per leaf x (PUNCTUATION_BASE + smoothed punctuation per leaf), of the leaves with
     text. The smoothing adds the parent path's ratio with the weight of SMOOTHING leaves (the corpus mean's for
     paths without a parent here).
-    The bare path "/" and paths that end in structure or inline marks and have only such or blocks above them are content at any ratio. Only the `paths` paths
-    with the most nodes are kept.
+    The bare path "/" and paths that end in structure or inline marks and have only such or blocks above them are content at any ratio. No path is left out.
     """
-    seen = nodes.where("chars > 0 OR path <> '/'").groupBy("path")
-    counted = ("nodes", "leaves") if "nodes" in nodes.columns else ()
-    sums = seen.agg(*(F.sum(c).alias(c) for c in (*counted, "chars", "punct")), *(() if counted else (F.count("*").alias("nodes"), F.count_if(F.col("chars") > 0).alias("leaves"))))
+    sums = path_sums(nodes)
     means = sums.agg(*((F.sum(c) / F.greatest(F.sum("leaves"), F.lit(1))).alias(f"_all_{c}") for c in ("chars", "punct")))
-    sums = sums.orderBy(F.desc("nodes"), "path").limit(paths).join(F.broadcast(means))  # one row
+    sums = sums.join(F.broadcast(means))  # one row
     parents = sums.select(F.col("path").alias("_parent"), *((F.col(c) / F.greatest("leaves", F.lit(1))).alias(f"_above_{c}") for c in ("chars", "punct")))
     parent = F.regexp_replace("path", "/[^/]*$", "")
     joined = sums.join(parents, F.when(parent == "", "/").otherwise(parent) == F.col("_parent"), "left")
@@ -424,7 +429,7 @@ def path_ratios(nodes: DataFrame, paths: int = PATHS) -> DataFrame:
 
 
 def known_paths(ratios: DataFrame) -> dict[str, bool]:
-    """Path to whether it is content; at most PATHS."""
+    """Path to whether it is content. It collects the whole table, so it is for small corpora; `clean_rows` is for any."""
     return {r.path: r.content for r in ratios.select("path", "content").collect()}
 
 
@@ -435,3 +440,23 @@ def clean_text(text: Column, content: dict[str, bool]) -> Column:
         return pa.array([None if t is None else clean(parse(t), content) for t in texts.to_pylist()], pa.string())
 
     return F.when(text.rlike(SUSPECT), arrow_udf(cleaned, "string")(F.when(text.rlike(SUSPECT), text))).otherwise(text)
+
+
+def clean_rows(df: DataFrame, keys: list[str], text: str, nodes: DataFrame, ratios: DataFrame, out: str = "clean") -> DataFrame:
+    """df with the column `out`: the text as `clean_text` makes it, by a path table of any size.
+
+    nodes (keys, path) are those of the texts, ratios holds all their paths. A row gets its noise paths by a join on
+    the path and one on the keys. Rows with equal keys, null or not, share them, which changes no result: a path is
+    noise or not whatever the text.
+    """
+    noise = nodes.join(ratios.where("NOT content").select("path"), "path", "left_semi")
+    noise = noise.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.collect_set("path").alias("_noise"))
+    suspect = F.coalesce(F.col(text).rlike(SUSPECT), F.lit(False))
+    marked = df.where(suspect).join(noise, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys)), "left")
+
+    def cleaned(texts: pa.Array, noise: pa.Array) -> pa.Array:
+        rows = ((parse(t), set(paths or ())) for t, paths in zip(texts.to_pylist(), noise.to_pylist(), strict=True))
+        return pa.array([clean(leaves, {path: path not in paths for path, _, _ in leaves}) for leaves, paths in rows], pa.string())
+
+    marked = marked.select(*df.columns, arrow_udf(cleaned, "string")(F.col(text), F.col("_noise")).alias(out))
+    return marked.unionByName(df.where(~suspect).withColumn(out, F.col(text)))

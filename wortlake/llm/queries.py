@@ -55,12 +55,10 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    """Content items whose plain_text has a leaf node on a tagged path of the path table; paths too rare for the table are tagged if they have tags. Nodes and
-    table come of one parse."""
-    nodes = markup.nodes_of(_content(spark, root), ["import_ord", "item_pos"], "plain_text")
-    nodes = _cut(nodes.groupBy("import_ord", "item_pos", "path").agg(F.count("*").alias("nodes"), F.count_if(F.col("chars") > 0).alias("leaves"), F.sum("chars").alias("chars"), F.sum("punct").alias("punct")))
-    table_of = markup.path_ratios(nodes).select("path", "tagged")
-    return nodes.join(table_of, "path", "left").where(F.coalesce("tagged", F.col("path") != "/")).select("import_ord", "item_pos").distinct()
+    """Content items whose plain_text has a leaf node on a tagged path of the path table. Nodes and table come of one parse."""
+    keys = ["import_ord", "item_pos"]
+    nodes = _cut(markup.path_sums(markup.nodes_of(_content(spark, root), keys, "plain_text"), *keys))
+    return nodes.join(markup.path_ratios(nodes).where("tagged").select("path"), "path", "left_semi").select(*keys).distinct()
 
 
 def _both(spark: SparkSession, root: str) -> DataFrame:
@@ -69,15 +67,16 @@ def _both(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_paths(spark: SparkSession, root: str) -> DataFrame:
     """The tag paths of plain_text and html with their ratios."""
-    ratios = markup.path_ratios(markup.nodes_of(_both(spark, root), [], "text"))
+    ratios = markup.path_ratios(_cut(markup.path_sums(markup.nodes_of(_both(spark, root), [], "text"))))
     return ratios.select("path", "nodes", "leaves", "chars", "punct", F.round("ratio", 6).alias("ratio"), "content")
 
 
 def p5_clean(spark: SparkSession, root: str) -> DataFrame:
-    """The clean text of every plain_text and html."""
+    """The clean text of every plain_text and html. Nodes and table come of one parse, the text of another."""
+    keys = ["import_ord", "item_pos", "fld"]
     both = _both(spark, root).where("text IS NOT NULL")
-    content = markup.known_paths(markup.path_ratios(markup.nodes_of(both, [], "text")))
-    return both.select("import_ord", "item_pos", "fld", markup.clean_text(F.col("text"), content).alias("clean"))
+    nodes = _cut(markup.path_sums(markup.nodes_of(both, keys, "text"), *keys))
+    return markup.clean_rows(both, keys, "text", nodes, markup.path_ratios(nodes)).select(*keys, "clean")
 
 
 CAPACITY = 2048
