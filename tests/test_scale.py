@@ -46,3 +46,24 @@ def test_metas_are_listed_per_term(spark):
     assert got == {("cat", "cat"): "|".join(f"f{i}" for i in range(10)), ("cat", "kat"): "|".join(f"f{i}" for i in range(1, 10, 2))}
     least = {(r.term, r.reading): r.frequency_order for r in meta.least_frequency(heads, said, "A").collect()}
     assert least == {("cat", "cat"): 0, ("cat", "kat"): 1, ("dog", "dog"): None}
+
+
+def test_search_at_looks_up_a_source_once(spark):
+    lexicon = many(spark)
+    texts = spark.createDataFrame([(1, "cats are", "en", 1), (2, "a cats b", "en", 3), (3, "zzz", "en", 1), (4, "cat", "en", 9)], QUERY + ", position int")
+    found = pipeline.search_at(texts, lexicon)
+    rows = found.entries.select("query_id", "entry_key", "original", "sentence.text").collect()
+    assert {r.query_id for r in rows} == {1, 2} and {r.text for r in rows} == {"cats are", "a cats b"}
+    assert len({r.entry_key for r in rows}) * 2 == len(rows)
+    alone = pipeline.find(spark.createDataFrame([(1, "cats are", "en")], QUERY), lexicon, "group").entries
+    assert sorted(r.entry_id for r in alone.collect()) == sorted(r.entry_id for r in found.entries.where("query_id = 1").collect())
+
+
+def test_segments_without_entries_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(1, "cats zz cat", "en"), (2, "qq", "en")], QUERY)
+    segments, found = pipeline.search_entries(texts, small_lexicon(spark))
+    entries = found.entries.select(F.col("query_id").alias("entry_query"), "entry_id")
+    rows = pipeline.with_entries(segments, entries)
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.segment, r.matched, r.entry_id is not None) for r in rows.collect()}
+    assert ("cats", True, True) in got and ("z", False, False) in got
